@@ -91,6 +91,9 @@ def split_oversized(
 ) -> DataFrame:
     """(id, piece, n_pieces, first_token, end_token, n_tokens, cut, piece_text) of every text above its limit.
 
+    Tokens are counted in the encoding of the whole text; encoded alone a piece has as many or fewer. ``cut`` is the kind of
+    boundary at the end of the piece, -1 at the end of the text.
+
     ``limits`` (kind, max_tokens, overlap_tokens) is a table of settings; the row ``other`` serves null and unknown
     kinds, and without it such texts are not cut. It is joined by key, so its size decides the join. Texts within their
     limit, null and empty ones give no rows. Repeated rows give repeated pieces; other columns are ignored.
@@ -135,7 +138,7 @@ def split_oversized(
                     safe = np.maximum.accumulate(np.where(broken, 0, np.arange(n + 1)))
                     pieces = best_cuts(n, limit, overlap, kinds, safe)
                     for k, (s, e) in enumerate(pieces):
-                        rows.append((i + d, k, len(pieces), s, e, e - s, int(kinds[e - 1]) if e < n else PARAGRAPH))
+                        rows.append((i + d, k, len(pieces), s, e, e - s, int(kinds[e - 1]) if e < n else -1))
                         texts.append(text[place[a + s] - place[a] : place[a + e] - place[a]].tobytes())
                 if rows:
                     c = np.array(rows, np.int64).T
