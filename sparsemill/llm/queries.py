@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._work import table
 from .bpe import encode_corpus
+from .leakage import find_leaks
 from .split import split_oversized
 
 
@@ -13,9 +14,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).where("exact_words >= 12").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p9_pieces)}
 ORACLES: dict[str, str] = {}
