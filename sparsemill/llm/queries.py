@@ -3,11 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._work import table
 from .bpe import encode_corpus
 from .leakage import find_leaks
 from .split import split_oversized
+from .terms import mark_terms, term_frequencies
+
+
+def _marked_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq, n = term_frequencies(table(spark, sf_dir, "expr"))
+    return mark_terms(freq, n, table(spark, sf_dir, "preprocess_options"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_genes(spark, sf_dir).select("gene_id", F.explode("marks").alias("mark"))
+
+
+def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_genes(spark, sf_dir).select("gene_id", "sum", "detected", "n", F.array_join("marks", ",").alias("marks"))
+
+
+_P1 = """
+with m as (
+  select distinct gene_id, cell_id, lane, expr_value from expr
+  where gene_id is not null and cell_id >= 0 and expr_value is not null and isfinite(expr_value)),
+c as (select gene_id, cell_id, sum(expr_value) as total from m group by all),
+f as (select gene_id, sum(total) as "sum", count(*) filter (where total > 0) as detected from c group by all),
+g as (
+  select a.gene_id, coalesce(f."sum", 0) as "sum", coalesce(f.detected, 0) as detected
+  from (select distinct gene_id from expr where gene_id is not null) a left join f on a.gene_id = f.gene_id),
+k as (select count(distinct cell_id) as n from c where total > 0),
+r as (
+  select g.*, k.n, detected < min_detected_cells or "sum" < min_gene_sum as rare, detected > max_detected_share * n as common
+  from g, k, preprocess_options)
+"""
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +57,8 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p9_pieces)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p7_ids, p8_found, p8_leaks, p9_pieces)}
+ORACLES: dict[str, str] = {
+    "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
+    "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
+}
