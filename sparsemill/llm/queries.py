@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ._work import table
 from .bpe import encode_corpus
+from .cooccur import pair_counts, surprise
 from .leakage import find_leaks
+from .quota_sample import quota_sample, target_report
 from .split import split_oversized
+from .stable_sample import poisson_sample, running_weights
 from .terms import mark_terms, term_frequencies
 
 
@@ -41,6 +44,86 @@ r as (
 """
 
 
+SAMPLE_RATE = 0.1
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the fully described cells; a row's weight is the share of its descriptions that are filled in."""
+    cells = table(spark, sf_dir, "cells")
+    filled = [F.length(F.btrim("stratum")) > 0, F.length(F.btrim("day_label")) > 0, F.col("embryo_id") >= 0, F.nanvl("developmental_time", F.lit(None)).isNotNull()]
+    weight = sum((F.coalesce(c, F.lit(False)).cast("double") for c in filled), F.lit(1.0)) / 5
+    return poisson_sample(running_weights(cells, "stable_id", weight), "stable_id", SAMPLE_RATE)
+
+
+_P2 = f"""
+with w as (
+  select stable_id, max((1.0::double + coalesce(length(trim(stratum)) > 0, false)::int + coalesce(length(trim(day_label)) > 0, false)::int
+    + coalesce(embryo_id >= 0, false)::int + coalesce(not isnan(developmental_time), false)::int) / 5) as weight
+  from cells where stable_id <> '' group by 1),
+h as (select *, ('0x' || substr(md5(stable_id), 1, 13))::bigint::double / {16**13}.0::double as unit_hash, least(weight * {SAMPLE_RATE}::double, 1.0) as inclusion from w)
+select stable_id, weight, unit_hash, inclusion from h where unit_hash < inclusion
+"""
+
+
+def _gene_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return pair_counts(table(spark, sf_dir, "sampled_csr"), "sampled_position", "column_indices", min_count=8, min_ratio=3.0)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_pairs(spark, sf_dir)[0].select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_pairs(spark, sf_dir)[0].withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
+
+
+def p5_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surprise(*_gene_pairs(spark, sf_dir)).withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
+
+
+_P5 = """
+with r as (
+  select distinct sampled_position as p, g from (select sampled_position, unnest(column_indices) as g from sampled_csr) where g >= 0),
+f as (select g, count(*) as n_g from r group by 1),
+k as (select count(distinct p) as n from r),
+c as (select a.g as gene_a, b.g as gene_b, count(*) as n_ab from r a join r b on a.p = b.p and a.g < b.g group by all having count(*) >= 8),
+o as (
+  select gene_a, gene_b, n_ab, fa.n_g as n_a, fb.n_g as n_b, n, (n_ab * n)::double / (fa.n_g::double * fb.n_g) as ratio
+  from c join f fa on fa.g = gene_a join f fb on fb.g = gene_b, k where n_ab * n >= 3 * fa.n_g * fb.n_g)
+"""
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_report(table(spark, sf_dir, "cells"), table(spark, sf_dir, "sample_targets"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_report(spark, sf_dir).where("not met").select("dataset_id", "stratum")
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota_sample(table(spark, sf_dir, "cells"), table(spark, sf_dir, "sample_targets"))
+
+
+_P6 = r"""
+with a as (
+  select distinct dataset_id, trim(regexp_replace(lower(stratum), '[\s_\-]+', ' ', 'g')) as stratum, cell_id
+  from cells where stratum is not null and dataset_id is not null and cell_id is not null),
+n as (select dataset_id, stratum, count(*) as available from a group by all),
+b as (
+  select t.dataset_id, t.stratum, target_share, min_rows, requested_rows, coalesce(available, 0) as available, target_share * requested_rows as wish
+  from sample_targets t left join n on t.dataset_id = n.dataset_id and t.stratum = n.stratum),
+c as (select *, greatest(min_rows::double, wish) as needed, least(min_rows, available) as low, least(greatest(min_rows, floor(wish)::bigint), available) as base from b),
+d as (
+  select *, requested_rows - sum(base) over (partition by dataset_id) as free,
+    case when base < available and target_share > 0 and floor(wish) < wish and base = floor(wish)::bigint then wish - floor(wish) else -1.0::double end as rest from c),
+e as (select *, row_number() over (partition by dataset_id order by rest desc, stratum) as rank, sum(base - low) over (partition by dataset_id) as spare from d),
+r as (
+  select *, (base + (case when rest > 0 and rank <= free then 1 else 0 end)
+    - (case when free < 0 then least(base - low, ceil((base - low)::double * -free::double / greatest(spare, 1)::double)) else 0 end))::bigint as quota from e)
+"""
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -57,8 +140,19 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
     "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
+    "p2_sample": _P2,
+    "p5_found": _P5 + "select gene_a, gene_b from o",
+    "p5_counts": _P5 + "select * from o",
+    "p6_report": _P6 + """select dataset_id, stratum, target_share, min_rows, requested_rows, available, needed, quota,
+      greatest(ceil(needed)::bigint - available, 0) as short, available >= needed as met from r""",
+    "p6_found": _P6 + "select dataset_id, stratum from r where available < needed",
+    "p6_sample": _P6 + """, k as (
+      select *, ('0x' || substr(md5(cell_id::varchar), 1, 13))::bigint::double / 4503599627370496.0::double as unit_hash from a)
+      select dataset_id, stratum, cell_id, unit_hash from (
+        select k.*, quota, row_number() over (partition by dataset_id, stratum order by unit_hash, cell_id) as i from k join r using (dataset_id, stratum))
+      where i <= quota""",
 }
