@@ -10,6 +10,7 @@ from .bpe import encode_corpus
 from .cooccur import pair_counts, surprise
 from .leakage import find_leaks
 from .quota_sample import quota_sample, target_report
+from .set_pairs import similar_records
 from .split import split_oversized
 from .stable_sample import poisson_sample, running_weights
 from .terms import mark_terms, term_frequencies
@@ -65,6 +66,25 @@ select stable_id, weight, unit_hash, inclusion from h where unit_hash < inclusio
 """
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_records(table(spark, sf_dir, "support"), "gene_id", "cell_id", numerator=3, denominator=5)
+    return pairs.withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs(spark, sf_dir).select("gene_a", "gene_b")
+
+
+_P4 = """
+with s as (select distinct gene_id as g, cell_id as c from support where gene_id is not null and cell_id >= 0),
+n as (select g, count(*) as k from s group by 1),
+i as (select a.g as gene_a, b.g as gene_b, count(*) as common from s a join s b on a.c = b.c and a.g < b.g group by all),
+o as (
+  select gene_a, gene_b, common::int as common, (x.k + y.k - common)::int as total from i join n x on x.g = gene_a join n y on y.g = gene_b
+  where 5 * common >= 3 * (x.k + y.k - common))
+"""
+
+
 def _gene_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pair_counts(table(spark, sf_dir, "sampled_csr"), "sampled_position", "column_indices", min_count=8, min_ratio=3.0)
 
@@ -140,11 +160,13 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p4_found, p4_pairs, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
     "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
     "p2_sample": _P2,
+    "p4_found": _P4 + "select gene_a, gene_b from o",
+    "p4_pairs": _P4 + "select * from o",
     "p5_found": _P5 + "select gene_a, gene_b from o",
     "p5_counts": _P5 + "select * from o",
     "p6_report": _P6 + """select dataset_id, stratum, target_share, min_rows, requested_rows, available, needed, quota,
