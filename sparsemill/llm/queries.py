@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._work import table
 from .bpe import encode_corpus
 from .cooccur import pair_counts, surprise
+from .knn_graph import greedy_search, neighbour_graph
 from .leakage import find_leaks
 from .quota_sample import quota_sample, target_report
 from .set_pairs import similar_records
@@ -66,6 +67,30 @@ select stable_id, weight, unit_hash, inclusion from h where unit_hash < inclusio
 """
 
 
+def _cell_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph(table(spark, sf_dir, "neighbor_index"), "cell_index", "latent", dim=64, k=10)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _cell_graph(spark, sf_dir).select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where("e.sims >= 0.9")
+    return edges.select(F.least("id", "e.nbrs").alias("cell_a"), F.greatest("id", "e.nbrs").alias("cell_b")).distinct()
+
+
+def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar other cells of every cell, with similarity and embryo (null where it is unknown)."""
+    embryo = table(spark, sf_dir, "neighbor_index").where("embryo_id >= 0").groupBy(F.col("cell_index").alias("neighbor")).agg(F.min("embryo_id").alias("embryo_id"))
+    edges = _cell_graph(spark, sf_dir).select(F.col("id").alias("cell_index"), F.posexplode(F.arrays_zip("nbrs", "sims")).alias("rank", "e"))
+    edges = edges.select("cell_index", (F.col("rank") + 1).alias("rank"), F.col("e.nbrs").alias("neighbor"), F.round("e.sims", 3).alias("similarity"))
+    return edges.join(embryo, "neighbor", "left").select("cell_index", "rank", "neighbor", "similarity", "embryo_id")
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy search along the graph for every cell whose number is divisible by 50, against all cells."""
+    rows = table(spark, sf_dir, "neighbor_index")
+    found = greedy_search(_cell_graph(spark, sf_dir), rows, rows.where("cell_index % 50 = 0"), "cell_index", "latent")
+    return found.withColumnRenamed("id", "cell_index")
+
+
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similar_records(table(spark, sf_dir, "support"), "gene_id", "cell_id", numerator=3, denominator=5)
     return pairs.withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
@@ -160,7 +185,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p4_found, p4_pairs, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p3_found, p3_neighbors, p3_search, p4_found, p4_pairs, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
     "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
