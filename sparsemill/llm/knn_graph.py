@@ -49,30 +49,57 @@ def _at_least(s: np.ndarray, k: int, axis: int) -> np.ndarray:
     return np.partition(m, g - k, axis=0)[g - k]
 
 
+def _by_row(row: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by row."""
+    return np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
+
+
+def _keep_best(row: np.ndarray, col: np.ndarray, sim: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each row, ordered by row, similarity and col; (row, col) must be distinct."""
+    order = _by_row(row, n)
+    row, col, sim = row[order], col[order], sim[order]
+    size = np.bincount(row, minlength=n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    m = np.full((n, max(k, int(size.max(initial=0)))), -3.0, np.float32)
+    c = np.full(m.shape, np.iinfo(np.int64).max)
+    m[row, place], c[row, place] = sim, col
+    if m.shape[1] > k:
+        top = np.argpartition(-m, k - 1, axis=1)[:, :k]
+        bound = np.take_along_axis(m, top, 1).min(1)
+        tied = np.flatnonzero(((m == bound[:, None]).sum(1) > 1) & (bound > -3))  # then the cols decide
+        if len(tied):
+            top[tied] = np.lexsort((c[tied], -m[tied]), axis=1)[:, :k]
+        m, c = np.take_along_axis(m, top, 1), np.take_along_axis(c, top, 1)
+    order = np.lexsort((c, -m), axis=1)
+    m, c = np.take_along_axis(m, order, 1), np.take_along_axis(c, order, 1)
+    at = np.flatnonzero(m.ravel() > -3)
+    return at // m.shape[1], c.ravel()[at], m.ravel()[at]
+
+
 def block_neighbours(x: np.ndarray, leaf: np.ndarray, probe: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, col, sim): for each vector of a block the k most similar among those it meets in the block's leaves.
 
     leaf: the vector's own leaf in this block or -1; probe[row, j]: leaves it visits, -1 for none. Within a leaf every
-    visitor meets every member, and both get the other.
+    visitor meets every member, and both get the other: the member here only if it does not visit the visitor's own leaf,
+    where it would meet it again.
     """
     n = len(x)
-    kth = np.full(n, -2.0, np.float32)
+    kth = np.full(n, -1.5, np.float32)
     rows, cols, sims = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
     flat = np.argsort(probe, axis=None, kind="stable")
     flat = flat[probe.ravel()[flat] >= 0]
     by, who = probe.ravel()[flat], flat // probe.shape[1]
     cuts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+    place = np.full(n, -1)
     new: list[tuple] = []
     held = 0
 
     def settle():
         nonlocal rows, cols, sims, new, held
-        r, c, s = (np.concatenate([a, *b]) for a, b in zip((rows, cols, sims), zip(*new)))
-        keep = best_of(r, c, s, k)
-        rows, cols, sims = r[keep], c[keep], s[keep]
-        last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]]))
-        full = np.bincount(rows, minlength=n)[rows[last]] >= k
-        kth[rows[last][full]] = sims[last][full]
+        rows, cols, sims = _keep_best(*(np.concatenate([a, *b]) for a, b in zip((rows, cols, sims), zip(*new))), n, k)
+        size = np.bincount(rows, minlength=n)
+        full = np.flatnonzero(size >= k)
+        kth[full] = sims[np.cumsum(size)[full] - 1]
         new, held = [], 0
 
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -80,17 +107,24 @@ def block_neighbours(x: np.ndarray, leaf: np.ndarray, probe: np.ndarray, k: int)
         if not len(members):
             continue
         y = x[members]
+        place[members] = np.arange(len(members))
         for i in range(0, len(visitors), 2048):
             v = visitors[i : i + 2048]
             s = x[v] @ y.T
-            s[v[:, None] == members] = -2.0
+            own = np.flatnonzero(place[v] >= 0)
+            s[own, place[v[own]]] = -2.0
             need = np.maximum(_at_least(s, k, 1), kth[v])
-            r, c = np.nonzero(s >= np.maximum(need, -1.5)[:, None])
-            new.append((v[r], members[c], s[r, c]))
+            at = np.flatnonzero((s >= need[:, None]).ravel())
+            r, c = np.divmod(at, len(members))
+            new.append((v[r], members[c], s.ravel()[at]))
             need = np.maximum(_at_least(s, k, 0), kth[members])
-            r, c = np.nonzero(s >= np.maximum(need, -1.5)[None, :])
-            new.append((members[c], v[r], s[r, c]))
+            at = np.flatnonzero((s >= need).ravel())
+            r, c = np.divmod(at, len(members))
+            r, c = v[r], members[c]
+            once = (leaf[r] < 0) | (probe[c] != leaf[r][:, None]).all(1)
+            new.append((c[once], r[once], s.ravel()[at[once]]))
             held += len(new[-1][0]) + len(new[-2][0])
+        place[members] = -1
         if held > 40 * n:
             settle()
     if new:
