@@ -475,7 +475,7 @@ def _local_join(dim: int, k: int, reverse: int):
 
 
 def neighbour_graph(
-    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: int = 1, probes: int = 9, leaf_rows: int = 1000, block_leaves: int = 8, reverse: int = 10,
+    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: int = 1, probes: int = 9, leaf_rows: int = 1000, block_leaves: int = 16, reverse: int = 10,
     sample_rows: int = 16_384, settled: float = 0.001,
 ) -> DataFrame:
     """(id, nbrs, sims): the k most similar other ids of every valid vector, most similar first, ties by id.
