@@ -250,8 +250,7 @@ def _router(layout: Layout, dim: int, probes: int):
             row, col = np.nonzero(head)
             stop = np.append(np.flatnonzero(head.ravel())[1:], head.size)
             ends = np.concatenate([[0], np.cumsum(stop - np.flatnonzero(head.ravel()))])
-            data = pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())
-            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, data]).cast(pa.binary())
+            vec = _to_bytes(x).take(pa.array(row))
             b = block[row, col]
             own_leaf = np.where(b == home[row], own[row], -1)
             yield pa.RecordBatch.from_arrays(
@@ -263,8 +262,7 @@ def _router(layout: Layout, dim: int, probes: int):
             )
             row, b = layout.copies(own, home)
             if len(row):
-                data = pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())
-                vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, data]).cast(pa.binary())
+                vec = _to_bytes(x).take(pa.array(row))
                 none = pa.ListArray.from_arrays(pa.array(np.zeros(len(row) + 1, np.int32)), pa.array(np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b.astype(np.int32)), pa.array(ids[row]), pa.array(home[row].astype(np.int32)), pa.array(own[row].astype(np.int32)), none, vec],
@@ -274,10 +272,22 @@ def _router(layout: Layout, dim: int, probes: int):
     return run
 
 
-def _matrix(column, dim: int, dtype) -> np.ndarray:
+def _to_bytes(x: np.ndarray):
+    """Unit rows as 16-bit fixed point of their largest component (a cosine changes by about 1e-5), an Arrow column."""
     import pyarrow as pa
 
-    return np.frombuffer(column.combine_chunks().cast(pa.binary(np.dtype(dtype).itemsize * dim)).buffers()[1], dtype).reshape(-1, dim) if len(column) else np.zeros((0, dim), dtype)
+    q = np.rint(x * (32767.0 / np.abs(x).max(axis=1, keepdims=True, initial=1e-30))).astype(np.int16)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary())
+
+
+def _from_bytes(column, dim: int) -> np.ndarray:
+    """Unit rows of such a column without nulls."""
+    import pyarrow as pa
+
+    if not len(column):
+        return np.zeros((0, dim), np.float32)
+    x = np.frombuffer(column.combine_chunks().cast(pa.binary(2 * dim)).buffers()[1], np.int16).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _lists(ids, home, rows, cols, sims, col_ids, col_homes, vec=None):
@@ -304,14 +314,13 @@ def _first_graph(dim: int, k: int):
         _, once = np.unique(ids, return_index=True)  # copies of a cell have one vector
         table = table.take(pa.array(once))
         ids, home, leaf = (table.column(c).to_numpy() for c in ("id", "home", "leaf"))
-        x = _matrix(table.column("vec"), dim, np.float32)
+        x = _from_bytes(table.column("vec"), dim)
         lists = table.column("probe").combine_chunks()
         size = lists.value_lengths().to_numpy().astype(np.int64)
         probe = np.full((len(ids), int(size.max(initial=1))), -1, np.int64)
         probe[np.repeat(np.arange(len(ids)), size), spread(np.zeros(len(ids), np.int64), size)] = lists.flatten().to_numpy()
         rows, cols, sims = block_neighbours(x, leaf, probe, k)
-        half = x.astype(np.float16)
-        vec = pa.array([half[i].tobytes() if leaf[i] >= 0 else None for i in range(len(ids))], pa.binary())
+        vec = table.column("vec").combine_chunks().take(pa.array(np.arange(len(ids)), mask=leaf < 0))
         return _lists(ids, home, rows, cols, sims, ids[cols], home[cols], vec)
 
     return run
@@ -360,7 +369,7 @@ def first_graph(vectors: DataFrame, dim: int, k: int, leaf_rows: int, block_leav
 
 
 def descent_round(graph: DataFrame, dim: int, k: int, reverse: int, parts: int, last: bool) -> DataFrame:
-    """One round of NN-descent over a graph with half-precision vectors: an improved graph (without vectors if the last).
+    """One round of NN-descent over a graph with their vectors: an improved graph (without vectors if the last).
 
     A node's neighbours are those of its list and a hashed choice of ``reverse`` nodes that list it; a node that very many
     list takes part with a hashed choice of HUB_LINKS of them. The neighbours of a node are neighbours of neighbours of one
@@ -423,7 +432,7 @@ def _poster(k: int):
 def _local_join(dim: int, k: int, reverse: int):
     def run(table):
         ids, home, kth = (table.column(c).to_numpy() for c in ("id", "home", "kth"))
-        x = _matrix(table.column("vec"), dim, np.float16).astype(np.float32)
+        x = _from_bytes(table.column("vec"), dim)
         nodes = table.column("nodes").combine_chunks()
         size = nodes.value_lengths().to_numpy().astype(np.int64)
         who, node = np.repeat(np.arange(len(ids)), size), nodes.flatten().to_numpy()
