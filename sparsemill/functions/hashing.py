@@ -1,12 +1,9 @@
-"""Wrapping 64-bit hashes on BIGINT bit patterns, with ANSI arithmetic left on.
-
-A product modulo 2^64 is formed from limbs of 16 bits, whose partial sums never overflow. Steps are separate projections,
-so that an intermediate value is computed once.
-"""
+"""Wrapping 64-bit hashes on BIGINT bit patterns, with ANSI arithmetic left on."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,37 +33,24 @@ def splitmix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def _limb(c: Column, i: int) -> Column:
-    return F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF))
-
-
-def _carry(sums: list[Column], df: DataFrame, out: str) -> DataFrame:
-    df = df.withColumn("_t0", sums[0])
-    for i in (1, 2, 3):
-        df = df.withColumn(f"_t{i}", F.shiftrightunsigned(F.col(f"_t{i - 1}"), 16) + sums[i])
-    parts = [F.shiftleft(F.col(f"_t{i}").bitwiseAND(F.lit(0xFFFF)), 16 * i) for i in range(4)]
-    whole = parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
-    return df.withColumn(out, whole).drop("_t0", "_t1", "_t2", "_t3")
-
+def with_splitmix(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """out = SplitMix64 of a BIGINT column; null stays null."""
+    return df.withColumn(out, splitmix_column()(value))
 
-def with_product(df: DataFrame, out: str, col: str, k: int) -> DataFrame:
-    """out = col * k modulo 2^64."""
-    ks = [(k >> (16 * i)) & 0xFFFF for i in range(4)]
-    a = [_limb(F.col(col), i) for i in range(4)]
-    return _carry([sum((a[i] * F.lit(ks[n - i]) for i in range(1, n + 1)), a[0] * F.lit(ks[n])) for n in range(4)], df, out)
 
+def splitmix_column():
+    """SplitMix64 as a function of a column.
 
-def with_sum(df: DataFrame, out: str, col: str, k: int) -> DataFrame:
-    """out = col + k modulo 2^64."""
-    return _carry([_limb(F.col(col), i) + F.lit((k >> (16 * i)) & 0xFFFF) for i in range(4)], df, out)
+    Wrapping products overflow under ANSI arithmetic, and sums of limbs are copied by every pushed-down filter until the
+    plan no longer fits memory; a function on Arrow batches is opaque to that and needs a few array operations a batch.
+    """
 
+    @F.arrow_udf("long")
+    def mix(x: pa.Array) -> pa.Array:
+        h = _mix(x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
+        return pa.array(h, mask=np.asarray(x.is_null()))
 
-def with_splitmix(df: DataFrame, out: str, value: Column) -> DataFrame:
-    """out = SplitMix64 of a BIGINT column."""
-    df = with_sum(df.withColumn("_z", value), "_z", "_z", GAMMA)
-    for shift, k in zip((30, 27), MULTIPLIERS):
-        df = with_product(df.withColumn("_z", F.col("_z").bitwiseXOR(F.shiftrightunsigned("_z", shift))), "_z", "_z", k)
-    return df.withColumn(out, F.col("_z").bitwiseXOR(F.shiftrightunsigned("_z", 31))).drop("_z")
+    return mix
 
 
 def with_row_hash(df: DataFrame, out: str, row: Column, seed: int) -> DataFrame:
@@ -83,8 +67,6 @@ def with_id_hash(df: DataFrame, out: str, col: str, seed: int) -> DataFrame:
     at = df.columns.index(col)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_id_hashes(batch.column(at), seed), pa.int64())], [*batch.schema.names, out])
 

@@ -101,11 +101,11 @@ def ranked(df: DataFrame, order: list, out: str, key: str) -> DataFrame:
     Rows are range-partitioned by the order; each partition numbers its own, from the count of those before it. ``key``
     ends the order, so that it is total.
     """
-    parts = df.repartitionByRange(*order, key).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order, key)) - 1)
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return parts.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    parts = df.repartitionByRange(*order, key).withColumn("_rank_p", F.spark_partition_id())
+    parts = parts.withColumn("_rank_i", F.row_number().over(Window.partitionBy("_rank_p").orderBy(*order, key)) - 1)
+    counts = parts.groupBy("_rank_p").agg(F.count("*").alias("_rank_n"))  # one row a partition
+    before = counts.select("_rank_p", (F.sum("_rank_n").over(Window.orderBy("_rank_p")) - F.col("_rank_n")).alias("_rank_before"))
+    return parts.join(F.broadcast(before), "_rank_p").withColumn(out, F.col("_rank_before") + F.col("_rank_i")).drop("_rank_p", "_rank_i", "_rank_before")
 
 
 def nnz_buckets(rows: DataFrame, n_rows: int, buckets: int, row: str = "cell_id", nnz: str = "nnz") -> DataFrame:
