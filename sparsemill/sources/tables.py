@@ -60,6 +60,6 @@ RECORDS = """r as (
     select cell_index, min({'embryo': case when embryo_id >= 0 then embryo_id else -1 end, 'time': developmental_time::double, 'shard': shard_index, 'latent': latent}) as m
     from neighbor_index
     where cell_index >= 0 and latent is not null and len(latent) = 64 and developmental_time is not null and not isnan(developmental_time)
-      and len(list_filter(latent, v -> v is null or not isfinite(v))) = 0 and len(list_filter(latent, v -> v <> 0)) > 0
+      and len(list_filter(latent, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(latent, lambda v: v <> 0)) > 0
     group by 1))"""
 SUPPORT = "s as (select distinct gene_id, cell_id from support where gene_id is not null and cell_id >= 0)"
