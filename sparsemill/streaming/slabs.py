@@ -16,7 +16,7 @@ def assign_stream(records: DataFrame, slabs: DataFrame, halo: float, arrived: st
     ranges = slabs.groupBy("embryo").agg(F.array_sort(F.collect_list(F.struct("slab", "begin", "end"))).alias("_s"))
     fits = lambda s: (F.col("time") >= s["begin"] - halo) & (F.col("time") <= s["end"] + halo)
     once = records.withWatermark(arrived, late).dropDuplicatesWithinWatermark(["cell"])
-    return once.join(ranges, "embryo").withColumn("slab", F.element_at(F.filter("_s", fits), 1)["slab"]).where("slab is not null").select("cell", "embryo", "slab", arrived)
+    return once.join(ranges, "embryo").withColumn("slab", F.try_element_at(F.filter("_s", fits), F.lit(1))["slab"]).where("slab is not null").select("cell", "embryo", "slab", arrived)
 
 
 def arrival_counts(events: DataFrame, time: str, kind: str, window: str, late: str) -> DataFrame:
