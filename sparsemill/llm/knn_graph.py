@@ -222,9 +222,9 @@ def sample_vectors(vectors: DataFrame, dim: int, rows: int) -> np.ndarray:
     """Unit vectors of at most ``rows`` ids, those of lowest hash."""
     got = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("vec").toArrow().column("vec").combine_chunks()
     if not len(got):
-        return np.zeros((0, dim), np.float32)
+        return np.zeros((1, dim), np.float32)
     x, ok = _unit(got, dim)
-    return x[ok]
+    return x[ok] if ok.any() else np.zeros((1, dim), np.float32)  # one leaf then
 
 
 # -- the graph --------------------------------------------------------------------------------------------------------
