@@ -118,11 +118,11 @@ for _name, _metric, _sql in (
     query(_name, _sql)(lambda spark, d, m=_metric: _knn(spark, d, m))
 
 
-@query("q042_unit_rows", f"{R}, {UNIT} select cell, list_transform(v, lambda x: round(x, 6)) as v from u")
+@query("q042_unit_rows", f"{R}, {UNIT} select cell, list_transform(v, lambda x: round(x, 5)) as v from u")
 def q042(spark, d):
     """Vectors of length one."""
     u = neighbors.normalized(records(spark, d))
-    return u.select("cell", F.transform("latent", lambda x: F.round(x, 6)).alias("v"))
+    return u.select("cell", F.transform("latent", lambda x: F.round(x, 5)).alias("v"))
 
 
 @query("q045_slab_assignment", f"""{R}, o as (select *, row_number() over (partition by embryo order by "time", cell) - 1 as pos from r where cell % 10 <> 0),
