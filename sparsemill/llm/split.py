@@ -64,25 +64,27 @@ def best_cuts(n: int, limit: int, overlap: int, kind: np.ndarray, safe: np.ndarr
     m = len(nodes)
     pieces = max(1, int(np.ceil((n - overlap) / stride)))
     ideal = min(limit, (n + (pieces - 1) * overlap) / pieces)
-    cost = np.full(m, np.inf)
-    cost[0] = 0.0
-    back = np.zeros(m, np.int64)
     fee = np.concatenate([[0.0], PENALTY[kind[nodes[1:-1] - 1]], [0.0]])
-    low = np.searchsorted(start, nodes - limit)  # the first cut from which a piece up to this one fits
-    for e in range(1, m):
+    low = np.searchsorted(start, nodes - limit).tolist()  # the first cut from which a piece up to this one fits
+    # cost to e over c is cost(c) + w (node(e) - start(c) - ideal)^2, of which only two terms depend on c
+    w = BALANCE / ideal**2
+    slope = 2 * w * (start + ideal)
+    own = w * (start + ideal) ** 2
+    upto = np.full(m, np.inf)
+    upto[0] = own[0]
+    back = [0] * m
+    for e, (at, plus) in enumerate(zip(nodes.tolist(), (w * nodes.astype(float) ** 2 + fee + own).tolist())):
         a = low[e]
-        if a >= e:
-            continue
-        size = nodes[e] - start[a:e]
-        total = cost[a:e] + BALANCE * ((size - ideal) / ideal) ** 2
-        k = int(total.argmin())
-        cost[e], back[e] = total[k] + fee[e], a + k
-    if not np.isfinite(cost[-1]):
+        if e and a < e:
+            total = upto[a:e] - at * slope[a:e]
+            k = int(total.argmin())
+            upto[e], back[e] = total[k] + plus, a + k
+    if not np.isfinite(upto[-1]):
         raise ValueError("a single character has more tokens than the limit allows")
     out, e = [], m - 1
     while e:
         out.append((int(start[back[e]]), int(nodes[e])))
-        e = int(back[e])
+        e = back[e]
     return out[::-1]
 
 
