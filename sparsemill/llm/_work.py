@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,9 +26,19 @@ def ensure_checkpoint(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint: later jobs read its files and survive the loss of executors."""
-    ensure_checkpoint(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df behind a reliable checkpoint: later jobs read its files and survive the loss of executors.
+
+    The shuffle files it took are removed as soon as the checkpoint is written; else they stay on the executors' disks
+    until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is read where a plan is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
