@@ -8,10 +8,19 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df behind a reliable checkpoint in spark.checkpoint.dir; where that is unset (tests) in a local folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(at or "file://" + os.path.join(tempfile.gettempdir(), f"sparsemill-{os.getuid()}"))
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # the shuffle files of this plan go once the checkpoint is written
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is read where a plan is made
+    finally:
+        conf.set(CLEANUP, before)
