@@ -79,6 +79,8 @@ def density_sample(rows: DataFrame, row: str, nnz: str, seed: int, strata: int,
     counts = [(r[0], r[1]) for r in rows.groupBy(nnz).count().orderBy(nnz).collect()]
     if not counts:
         raise ValueError("density sampling needs rows")
+    if not 0 < n <= sum(c for _, c in counts):
+        raise ValueError(f"{n} rows cannot be drawn")
     ends = density_boundaries(counts, strata)
     sizes, at = [0] * len(ends), 0
     for v, c in counts:

@@ -72,18 +72,19 @@ def q071(spark, d):
 
 @query("q073_density_sample")
 def q073(spark, d):
-    """Four hundred rows over eight density strata, with weights."""
-    return sampling.density_sample(_nnz(spark, d), "cell_id", "nnz", SEED, 8, 400).select("cell_id", "nnz", "stratum", "weight")
+    """Four hundred rows (all, if there are fewer) over eight density strata, with weights."""
+    n = _nnz(spark, d)
+    return sampling.density_sample(n, "cell_id", "nnz", SEED, 8, min(400, n.count())).select("cell_id", "nnz", "stratum", "weight")
 
 
-@query("q072_density_allocation", f"""with {EXPRESSION}, n as (select cell_id, count(*) as nnz from e group by 1) select count(*) as n_rows, 400::bigint as sampled, 1 as strata_complete from n""")
+@query("q072_density_allocation", f"""with {EXPRESSION}, n as (select cell_id, count(*) as nnz from e group by 1) select count(*) as n_rows, least(400, count(*)) as sampled, 1 as strata_complete from n""")
 def q072(spark, d):
     """The allocation adds up: rows, sampled rows, and whether no stratum is empty."""
     counts = [(r[0], r[1]) for r in _nnz(spark, d).groupBy("nnz").count().orderBy("nnz").collect()]
     ends, sizes = sampling.density_boundaries(counts, 8), []
     for i, e in enumerate(ends):
         sizes.append(sum(c for v, c in counts if v <= e and (i == 0 or v > ends[i - 1])))
-    got = sampling.density_allocation(sizes, 400)
+    got = sampling.density_allocation(sizes, min(400, sum(sizes)))
     return spark.createDataFrame([(sum(sizes), sum(got), int(all(0 < g <= s for g, s in zip(got, sizes))))], "n_rows long, sampled long, strata_complete int")
 
 
