@@ -76,6 +76,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select(F.least("id", "e.nbrs").alias("cell_a"), F.greatest("id", "e.nbrs").alias("cell_b")).distinct()
 
 
+# brute force over all pairs of vectors: for tables of some thousand cells
+_P3 = """
+with l as (
+  select cell_index as c, any_value(latent)::double[] as x from neighbor_index
+  where cell_index >= 0 and latent is not null and len(latent) = 64
+    and len(list_filter(latent, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(latent, lambda v: v <> 0)) > 0
+  group by 1),
+v as (select c, x, sqrt(list_inner_product(x, x)) as n from l),
+p as (select a.c as a, b.c as b, list_inner_product(a.x, b.x) / (a.n * b.n) as s from v a join v b on a.c <> b.c),
+r as (select *, row_number() over (partition by a order by s desc, b) as i from p)
+select distinct least(a, b) as cell_a, greatest(a, b) as cell_b from r where i <= 10 and s >= 0.9
+"""
+
+
 def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar other cells of every cell, with similarity and embryo (null where it is unknown)."""
     embryo = table(spark, sf_dir, "neighbor_index").where("embryo_id >= 0").groupBy(F.col("cell_index").alias("neighbor")).agg(F.min("embryo_id").alias("embryo_id"))
@@ -190,6 +204,7 @@ ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
     "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
     "p2_sample": _P2,
+    "p3_found": _P3,
     "p4_found": _P4 + "select gene_a, gene_b from o",
     "p4_pairs": _P4 + "select * from o",
     "p5_found": _P5 + "select gene_a, gene_b from o",
