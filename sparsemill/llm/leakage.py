@@ -25,6 +25,7 @@ _ROOT_INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 BITMAP_BITS = 23
 ITEM_BLOCK_BYTES = 8_000_000
+HELD_HITS = 2_000_000
 BLANK = 32
 
 
@@ -241,6 +242,10 @@ def scan(items: Items, texts: list[str]) -> tuple[np.ndarray, ...]:
     if not len(at):
         return none
     count = items.count[gram]
+    if count.sum() > HELD_HITS and len(texts) > 1:  # texts full of items: in two parts, so that memory stays bounded
+        half = len(texts) // 2
+        one, two = scan(items, texts[:half]), scan(items, texts[half:])
+        return (np.concatenate([one[0], two[0] + half]), *(np.concatenate(x) for x in zip(one[1:], two[1:])))
     post = spread(items.first[gram], count)
     at, doc = np.repeat(at, count), np.repeat(doc, count)
     item, i_pos, d_pos = items.item[post], items.pos[post], at - d_off[doc]

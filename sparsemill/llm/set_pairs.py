@@ -75,7 +75,8 @@ def distinct_sets(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, Dat
     """(members (k, s), sets (s, items)): the class of every record's set, and each distinct set once.
 
     The set of a record is its distinct non-null, non-negative values; null keys take no part, and records without
-    values do not come out. Equal sets share a class, the smallest of their keys. Rows are reduced before each shuffle.
+    values do not come out. Equal sets share a class, the smallest of their keys. Rows are reduced before each shuffle. A set is
+    one array, so its members must fit a row (some ten millions do).
     """
     flat = rows.where(F.col(key).isNotNull() & (F.col(value) >= 0)).select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).distinct()
     sets = cut(flat.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("items")))
