@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def row_scale(entries: DataFrame, scales: DataFrame, row: str = "cell_id", value: str = "value", scale: str = "scale") -> DataFrame:
     """value * scale of the entry's row; rows without a scale drop out."""
@@ -98,14 +100,16 @@ def close(value: Column, reference: Column, abs_tol: float, rel_tol: float) -> C
 def ranked(df: DataFrame, order: list, out: str, key: str) -> DataFrame:
     """df with ``out``, the place (from 0) of each row in a global order, without one task holding all rows.
 
-    Rows are range-partitioned by the order; each partition numbers its own, from the count of those before it. ``key``
+    Rows are range-partitioned by the order and sorted there; each partition numbers its own, from the count of those
+    before it. The numbered rows are checkpointed, since a second evaluation could draw other partition bounds. ``key``
     ends the order, so that it is total.
     """
-    parts = df.repartitionByRange(*order, key).withColumn("_rank_p", F.spark_partition_id())
-    parts = parts.withColumn("_rank_i", F.row_number().over(Window.partitionBy("_rank_p").orderBy(*order, key)) - 1)
-    counts = parts.groupBy("_rank_p").agg(F.count("*").alias("_rank_n"))  # one row a partition
+    rows = df.repartitionByRange(*order, key).sortWithinPartitions(*order, key).withColumn("_rank_m", F.monotonically_increasing_id())
+    rows = cut(rows)
+    part, place = F.shiftright("_rank_m", 33), F.col("_rank_m").bitwiseAND(F.lit((1 << 33) - 1))  # the layout of that id
+    counts = rows.groupBy(part.alias("_rank_p")).agg(F.count("*").alias("_rank_n"))  # one row a partition
     before = counts.select("_rank_p", (F.sum("_rank_n").over(Window.orderBy("_rank_p")) - F.col("_rank_n")).alias("_rank_before"))
-    return parts.join(F.broadcast(before), "_rank_p").withColumn(out, F.col("_rank_before") + F.col("_rank_i")).drop("_rank_p", "_rank_i", "_rank_before")
+    return rows.withColumn("_rank_p", part).join(F.broadcast(before), "_rank_p").withColumn(out, F.col("_rank_before") + place).drop("_rank_p", "_rank_m", "_rank_before")
 
 
 def nnz_buckets(rows: DataFrame, n_rows: int, buckets: int, row: str = "cell_id", nnz: str = "nnz") -> DataFrame:
