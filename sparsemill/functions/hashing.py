@@ -47,7 +47,7 @@ def splitmix_column():
 
     @F.arrow_udf("long")
     def mix(x: pa.Array) -> pa.Array:
-        h = _mix(x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
+        h = mix_array(x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
         return pa.array(h, mask=np.asarray(x.is_null()))
 
     return mix
@@ -73,7 +73,8 @@ def with_id_hash(df: DataFrame, out: str, col: str, seed: int) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, `{out}` long")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix_array(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 of unsigned numbers."""
     with np.errstate(over="ignore"):
         x = x + np.uint64(GAMMA)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])
@@ -91,8 +92,8 @@ def _id_hashes(column, seed: int) -> list[int | None]:
         rows = np.flatnonzero(size > i)
         with np.errstate(over="ignore"):
             fold[rows] = (fold[rows] ^ raw[at[rows] + i]) * np.uint64(FNV_PRIME)
-    fold ^= _mix(size.astype(np.uint64) ^ np.uint64(CELL_DOMAIN))
-    h = _mix(fold ^ np.uint64(splitmix(seed ^ CELL_DOMAIN))).view(np.int64)
+    fold ^= mix_array(size.astype(np.uint64) ^ np.uint64(CELL_DOMAIN))
+    h = mix_array(fold ^ np.uint64(splitmix(seed ^ CELL_DOMAIN))).view(np.int64)
     return [None if t is None else int(x) for t, x in zip(texts, h)]
 
 

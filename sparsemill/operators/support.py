@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BAND_DOMAIN, BUCKET_DOMAIN, GAMMA, MASK, MINHASH_DOMAIN, SKETCH_STRIDE, signed, splitmix, unsigned_mod, unsigned_order, with_splitmix
+from ..functions.hashing import BAND_DOMAIN, BUCKET_DOMAIN, GAMMA, MASK, MINHASH_DOMAIN, SKETCH_STRIDE, mix_array, signed, splitmix, unsigned_mod, unsigned_order, with_splitmix
 
 
 def bitset(sets: DataFrame, gene: str, position: str) -> DataFrame:
@@ -50,11 +52,28 @@ class Sketch:
 
 
 def minhash(sets: DataFrame, gene: str, member: str, p: Sketch) -> DataFrame:
-    """(gene, sketch, value): for every sketch the least hash (unsigned) over the set."""
-    salts = [(j, signed(splitmix(p.seed ^ MINHASH_DOMAIN ^ (j * SKETCH_STRIDE & MASK)))) for j in range(p.count)]
-    salt = sets.sparkSession.createDataFrame(salts, "sketch int, salt long")
-    h = with_splitmix(sets.join(F.broadcast(salt)), "h", F.col(member).bitwiseXOR(F.col("salt")))
-    low = h.groupBy(gene, "sketch").agg(F.min(unsigned_order(F.col("h"))).alias("value"))
+    """(gene, sketch, value): for every sketch the least hash (unsigned) over the set.
+
+    Members are sorted by gene, so a batch holds few genes and reduces them before any row of a sketch exists; a gene that
+    spans batches has its minima merged by the aggregation.
+    """
+    salts = np.array([splitmix(p.seed ^ MINHASH_DOMAIN ^ (j * SKETCH_STRIDE & MASK)) for j in range(p.count)], np.uint64)
+    kind = sets.schema[gene].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            of = np.asarray(batch.column(0).dictionary_encode().indices)
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            low = np.stack([np.minimum.reduceat(mix_array(x ^ s), head) for s in salts], axis=1)  # runs of one gene
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(head, p.count))), pa.array(np.tile(np.arange(p.count, dtype=np.int32), len(head))), pa.array((low ^ np.uint64(1 << 63)).view(np.int64).ravel())], ["g", "sketch", "value"]
+            )
+
+    ordered = sets.select(gene, F.col(member).cast("long").alias("_m")).repartition(gene).sortWithinPartitions(gene)
+    low = ordered.mapInArrow(run, f"g {kind}, sketch int, value long").groupBy(F.col("g").alias(gene), "sketch").agg(F.min("value").alias("value"))
     return low.withColumn("value", unsigned_order(F.col("value")))
 
 
