@@ -181,7 +181,8 @@ def surprise(pairs: DataFrame, freq: DataFrame, sizes: DataFrame, fdr: float = 0
 
     The model is fitted on the driver over the distinct item frequencies and record sizes, at most CLASSES of each.
     q-values are those of Benjamini and Hochberg over all pairs of items, from the counts of p-values in bins of a
-    hundredth of a decade (a q-value is at most 2.4 % too large); pairs below the thresholds count as not surprising.
+    hundredth of a decade (a q-value is at most 2.4 % too large). pairs must hold all that occur together (min_count=1,
+    min_ratio=0): one that is missing takes no rank, which makes q-values too large; pairs that never meet have p-value 1.
     """
     by = freq.groupBy("n_i").agg(F.count("*").alias("items"))
     low, high = by.agg(F.min("n_i"), F.max("n_i")).first()

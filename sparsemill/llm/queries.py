@@ -124,8 +124,8 @@ o as (
 """
 
 
-def _gene_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return pair_counts(table(spark, sf_dir, "sampled_csr"), "sampled_position", "column_indices", min_count=8, min_ratio=3.0)
+def _gene_pairs(spark: SparkSession, sf_dir: str, min_count: int = 8, min_ratio: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return pair_counts(table(spark, sf_dir, "sampled_csr"), "sampled_position", "column_indices", min_count, min_ratio)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,8 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surprise(*_gene_pairs(spark, sf_dir)).withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
+    """Every pair of genes that occurs together, with counts and ratio; q-values rank all of them."""
+    return surprise(*_gene_pairs(spark, sf_dir, min_count=1, min_ratio=0.0)).withColumnsRenamed({"a": "gene_a", "b": "gene_b"})
 
 
 _P5 = """

@@ -215,6 +215,23 @@ def test_pair_counts_equal_brute_force(spark):
     assert empty[0].count() == 0 and cooccur.surprise(*empty).count() == 0
 
 
+@needs_tables
+def test_surprise_ranks_every_pair_that_occurs(spark):
+    flat = spark.read.parquet(f"{SF}/sampled_csr.parquet").select("sampled_position", F.explode("column_indices").alias("g")).where("g >= 0").distinct().collect()
+    sets = collections.defaultdict(set)
+    for p, g in flat:
+        sets[p].add(g)
+    one = collections.Counter(g for s in sets.values() for g in s)
+    two = collections.Counter(p for s in sets.values() for p in itertools.combinations(sorted(s), 2))
+    got = {(r.gene_a, r.gene_b): r for r in QUERIES["p5_surprise"](spark, SF).collect()}
+    assert {p: (r.n_ab, r.n_a, r.n_b, r.n) for p, r in got.items()} == {p: (c, one[p[0]], one[p[1]], len(sets)) for p, c in two.items()}
+    assert all(r.log10_p <= 0 and 0 <= r.q_value <= 1 for r in got.values())
+    ranked, least, tests = sorted(got.values(), key=lambda r: r.log10_p), 1.0, len(one) * (len(one) - 1) / 2
+    for i in range(len(ranked), 0, -1):
+        least = min(least, 10 ** ranked[i - 1].log10_p * tests / i)
+        assert least * (1 - 1e-9) <= ranked[i - 1].q_value <= least * 1.03
+
+
 def test_null_model_meets_its_margins():
     item, items, size, records = np.array([2.0, 50, 400]), np.array([300.0, 40, 3]), np.array([1.0, 5, 20]), np.array([200.0, 300, 120])
     total = (size * records).sum()
