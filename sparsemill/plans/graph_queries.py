@@ -53,7 +53,7 @@ def q031(spark, d):
 def q033(spark, d):
     """Approximate search in lists of consecutive times."""
     r = records(spark, d)
-    return neighbors.list_search(r.where("cell % 50 = 0"), r, 10, 512, 4).select("q_cell", "i_cell", "sim", "rank")
+    return neighbors.list_search(r.where("cell % 50 = 0"), r, 10, 4096, 8).select("q_cell", "i_cell", "sim", "rank")
 
 
 _SPARSE = f"""with {EXPRESSION}, n as (select cell_id, sqrt(sum(value * value)) as l from e group by 1), v as (select cell_id, gene_id, value / l as v from e join n using (cell_id)),

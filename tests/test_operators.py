@@ -1,5 +1,6 @@
 """Golden values and invariants of the core operators."""
 
+import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -305,3 +306,23 @@ def test_stream_assigns_slabs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("assigned").select("cell", "slab")) == [(1, 0), (2, 1)]
+
+
+def test_list_search_recall_with_many_lists(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 8))
+    r = spark.createDataFrame([(i, -1, float(i), 0, [float(v) for v in y]) for i, y in enumerate(x)], "cell long, embryo long, time double, shard int, latent array<float>")
+    q = r.where("cell % 50 = 0")
+    got = {(p.q_cell, p.i_cell) for p in neighbors.list_search(q, r, 10, 64, 8).collect()}
+    want = {(p.q_cell, p.i_cell) for p in neighbors.exact_neighbors(q, r, 10).collect()}
+    assert len(got) == 400 and len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("name", ["q033_list_search", "q040_projection_search"])
+def test_approximate_searches_find_nine_tenths(spark, name):
+    from sparsemill import plans
+
+    found = lambda n: plans.QUERIES[n](spark, "/root/testdata/sf0.1").where("rank <= 10").select("q_cell", "i_cell")
+    want = found("q039_knn_cosine").cache()
+    assert found(name).intersect(want).count() >= 0.9 * want.count() > 0
