@@ -25,6 +25,7 @@ _ROOT_INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 BITMAP_BITS = 23
 ITEM_BLOCK_BYTES = 8_000_000
+RETRIED = 20_000  # regions aligned again at a time
 HELD_HITS = 2_000_000
 BLANK = 32
 
@@ -287,15 +288,34 @@ def scan(items: Items, texts: list[str]) -> tuple[np.ndarray, ...]:
     g, first = np.unique(group[top], return_index=True)
     top = top[first]
     s, half = src[top], 2 * step
-    d, it = doc[s], item[s]
-    length = items.length[it]
-    i_at = np.clip(i_pos[s], 0, np.maximum(0, items.offsets[it + 1] - items.offsets[it] - length))
-    ed = banded_edits(items.chars, items.offsets[it] + i_at, length, chars, d_off[d] + d_pos[s] - i_pos[s] + i_at, d_off[d], d_off[d + 1], half)
-    good = ed <= items.edits
-    if not good.any():
+    sh = shared[top]
+    i_at = np.clip(i_pos[s], 0, np.maximum(0, items.offsets[item[s] + 1] - items.offsets[item[s]] - items.length[item[s]]))
+
+    def edits_of(s, i_at):
+        d, it = doc[s], item[s]
+        return banded_edits(items.chars, items.offsets[it] + i_at, items.length[it], chars, d_off[d] + d_pos[s] - i_pos[s] + i_at, d_off[d], d_off[d + 1], half)
+
+    good = (ed := edits_of(s, i_at)) <= items.edits
+    pp, sh, ee = pair[s][good], sh[good], ed[good]
+    # pairs without a passing region: every other retained one, begun up to where the edits may have cost its first q-grams
+    rest = np.flatnonzero((shared >= items.need[item[src]]) & fresh & ~np.isin(p, pp))
+    back = np.arange(items.edits * q + 1)
+    for c in range(0, len(rest), RETRIED):
+        of = rest[c : c + RETRIED]
+        s = np.repeat(src[of], len(back))
+        most_at = np.maximum(0, items.offsets[item[s] + 1] - items.offsets[item[s]] - items.length[item[s]])
+        i_at, n_sh = np.clip(i_pos[s] - np.tile(back, len(of)), 0, most_at), np.repeat(shared[of], len(back))
+        # overlapping regions share their beginnings: each is aligned once
+        order = np.lexsort((-n_sh, i_at, d_pos[s] - i_pos[s], pair[s]))
+        s, i_at, n_sh = s[order], i_at[order], n_sh[order]
+        at_ = np.stack([pair[s], d_pos[s] - i_pos[s], i_at])
+        new = np.concatenate([[True], (at_[:, 1:] != at_[:, :-1]).any(0)])
+        s, i_at, n_sh = s[new], i_at[new], n_sh[new]
+        good = (ed := edits_of(s, i_at)) <= items.edits
+        pp, sh, ee = np.concatenate([pp, pair[s][good]]), np.concatenate([sh, n_sh[good]]), np.concatenate([ee, ed[good]])
+    if not len(pp):
         return none
     # one row a pair: its best region and its longest exact run
-    pp, sh, ee = pair[s][good], shared[top][good], ed[good]
     order = np.lexsort((-sh, ee, pp))
     pp, sh, ee = pp[order], sh[order], ee[order]
     u, first = np.unique(pp, return_index=True)

@@ -348,6 +348,17 @@ def test_edited_passages_are_found(spark):
     assert set(got) >= {1} and 3 not in got and all(e <= 2 for e in got.values())
 
 
+def test_the_region_with_most_shared_grams_is_not_the_only_one_tried():
+    item = [f"{c}{c}word{i}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    docs = []
+    for n, typos, replaced in [(14, [1, 8, 13], 12), (21, [8, 11], 9), (24, [0, 9], 19), (25, [6, 7], 18)]:
+        w = [t.replace("word", "wurd") if i in typos else t for i, t in enumerate(item)]
+        w[replaced] = item[replaced][:2] + "zzzzz"
+        docs.append("x " + " ".join(w[:n]) + " y")
+    got = leakage.scan(leakage.Items([1], [" ".join(item)], 12, 12, 2), docs)
+    assert got[0].tolist() == [0, 1, 2, 3] and got[3].max() <= 2
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_BLOCK_BYTES", 60)
     t = [" ".join(f"{c}{i}" for i in range(14)) for c in "abc"]
