@@ -1,8 +1,8 @@
 """Problem 6: samples whose shares by category match given targets.
 
-One pass keeps, of every group and category, a mergeable reservoir: the records of lowest hash, as many as the group asks
-for. Spark builds it in part on each partition before the shuffle (window group limit), so a hot category sends no more
-than that from any task (for requests up to spark.sql.window.group.limit.threshold; above it, all its records). Exact counts then give feasible quotas (at least the minimum, at most what is available, the
+One pass keeps, of every group and category, a mergeable reservoir: the records of lowest hash, as many as the largest
+quota. Spark builds it in part on each partition before the shuffle (window group limit), so a hot category sends no more
+than that from any task (for quotas up to spark.sql.window.group.limit.threshold; above it, all its records). Exact counts then give feasible quotas (at least the minimum, at most what is available, the
 rest by largest remainder), to which the reservoirs are trimmed; what falls short is reported.
 """
 
@@ -68,7 +68,7 @@ def quota_sample(records: DataFrame, targets: DataFrame, group: str = "dataset_i
     """
     report = target_report(records, targets, group, category, record)
     quotas = report.select(F.col(group).alias("_g"), plain_name(F.col(category)).alias("_c"), F.col(category).alias("_name"), "quota")
-    most = targets.agg(F.max("requested_rows")).first()[0] or 0
+    most = report.agg(F.max("quota")).first()[0] or 0  # minimums may lift a quota above the request
     order = Window.partitionBy("_g", "_c").orderBy("_u", "_r")
     pool = available(records, group, category, record).withColumn("_u", unit_hash(F.col("_r"), salt)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= int(most))
     return pool.join(quotas, ["_g", "_c"]).where("_n <= quota").select(F.col("_g").alias(group), F.col("_name").alias(category), F.col("_r").alias(record), F.col("_u").alias("unit_hash"))

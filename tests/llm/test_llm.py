@@ -268,6 +268,12 @@ def test_quota_sample_meets_targets(spark):
     assert quota_sample.quota_sample(df.limit(0), t).count() == 0 and quota_sample.target_report(df, t.limit(0)).count() == 0
 
 
+def test_minimum_above_the_request_is_drawn_whole(spark):
+    df = spark.createDataFrame([(1, "tail", i) for i in range(30)], "dataset_id long, stratum string, cell_id long")
+    t = spark.createDataFrame([(1, "tail", 1.0, 20, 10)], "dataset_id long, stratum string, target_share double, min_rows long, requested_rows long")
+    assert quota_sample.target_report(df, t).first().quota == quota_sample.quota_sample(df, t).count() == 20
+
+
 # -- 7 ------------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def reference():
