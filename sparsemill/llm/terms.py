@@ -2,8 +2,9 @@
 
 Recursive radix spilling: the scan parts its rows by bits of the term's hash into compressed columnar blocks, written to
 the shared folder; partitions above ``limit_rows`` are parted again by bits of the hash of term and record, level by
-level, so that a hot term is spread too. Each remaining partition is aggregated out of core by DuckDB in one task, and
-the few rows a term has left are summed.
+level, so that a hot term is spread too. The number of bits follows the number of rows, so that few levels are needed, and
+rows that repeat one another are dropped when they are spilled. Each remaining partition is aggregated out of core by
+DuckDB in one task, and the few rows a term has left are summed.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ._work import cut, shared_dir
 
-FANOUT_BITS = 6
+LEVEL_BITS = 10  # of the 64-bit hash that a level may use
 FLUSH_ROWS = 1_000_000
-MAX_LEVEL = 9  # levels of six bits within a 64-bit hash
 BLOCK = "part long, level int, n long, payload binary"
 
 
@@ -45,7 +45,26 @@ def _unpack(payload: bytes):
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _parted(table, level: int, part: int = 0):
+def _once(table):
+    """The table without rows that repeat another one."""
+    import pyarrow as pa
+
+    cols = [c.to_numpy() for c in table.columns]
+    h = np.zeros(table.num_rows, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in cols:
+            h = _mix(h * np.uint64(3) + (c.view(np.int64) if c.dtype == np.float64 else c).astype(np.uint64))
+    order = np.argsort(h)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for c in cols:
+        v = c[order].view(np.int64)
+        same &= v[1:] == v[:-1]
+    if not same.any():
+        return table
+    return table.take(pa.array(np.sort(order[np.concatenate([[True], ~same])])))
+
+
+def _parted(table, bits: int, level: int, part: int = 0):
     """Blocks of the table by the level's hash bits: (part, level, n, payload)."""
     import pyarrow as pa
 
@@ -54,55 +73,66 @@ def _parted(table, level: int, part: int = 0):
     if level:
         with np.errstate(over="ignore"):
             h = _mix(h + np.uint64(0x9E3779B97F4A7C15) * table.column("rec").to_numpy().astype(np.uint64))
-    shift = np.uint64(64 - FANOUT_BITS * (level + 1))
-    radix = ((h >> shift) & np.uint64((1 << FANOUT_BITS) - 1)).astype(np.uint8)
+    radix = ((h >> np.uint64(64 - LEVEL_BITS * level - bits)) & np.uint64((1 << bits) - 1)).astype(np.uint16)
     order = np.argsort(radix, kind="stable")
-    table, sizes = table.take(pa.array(order)), np.bincount(radix, minlength=1 << FANOUT_BITS)
+    table, sizes = table.take(pa.array(order)), np.bincount(radix, minlength=1 << bits)
     ends = np.cumsum(sizes)
     own = np.flatnonzero(sizes)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array((part << FANOUT_BITS) + own.astype(np.int64)), pa.array(np.full(len(own), level, np.int32)), pa.array(sizes[own].astype(np.int64)),
+            pa.array((part << LEVEL_BITS) + own.astype(np.int64)), pa.array(np.full(len(own), level, np.int32)), pa.array(sizes[own].astype(np.int64)),
             pa.array([_pack(table.slice(ends[r] - sizes[r], sizes[r])) for r in own], pa.binary()),
         ],
         ["part", "level", "n", "payload"],
     )
 
 
-def _spill(batches):
+def _spill(bits: int):
     """Rows (term, rec, piece, val) -> blocks of level 0. Rows that do not count stay as their bare term (rec -1)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
     def flush(held):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         t = pa.Table.from_batches(held, held[0].schema)
         rec, val = t.column("rec"), t.column("val")
         ok = pc.and_(pc.and_(pc.is_valid(rec), pc.greater_equal(pc.fill_null(rec, -1), 0)), pc.is_finite(pc.fill_null(val, float("nan"))))
         bad = t.column("term").filter(pc.invert(ok)).unique()
-        t = t.filter(ok)
+        t = t.set_column(2, "piece", pc.fill_null(t.column("piece"), -1)).filter(ok)
         bare = pa.table({"term": bad, "rec": pa.array(np.full(len(bad), -1)), "piece": pa.array(np.zeros(len(bad), np.int64)), "val": pa.array(np.zeros(len(bad)))})
-        t = pa.concat_tables([t, bare.cast(t.schema)]).combine_chunks()
-        return _parted(t, 0)
-
-    held, rows = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-        if rows >= FLUSH_ROWS:
+        return _parted(_once(pa.concat_tables([t, bare.cast(t.schema)]).combine_chunks()), bits, 0)
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= FLUSH_ROWS:
+                yield flush(held)
+                held, rows = [], 0
+        if held:
             yield flush(held)
-            held, rows = [], 0
-    if held:
-        yield flush(held)
 
+    return run
 
-def _split_again(batches):
-    import pyarrow as pa
 
-    for b in batches:
-        for part, level, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
-            out = _parted(_unpack(payload.as_py()), level + 1, part)
-            yield pa.RecordBatch.from_arrays(out.columns, b.schema.names)
+def _bits_for(n: int, limit_rows: int) -> int:
+    """Bits by which n rows come into parts of about half the limit."""
+    return min(LEVEL_BITS, max(1, (n // limit_rows).bit_length() + 1))
+
+
+def _split_again(limit_rows: int):
+    """Blocks with the rows of their whole partition -> blocks of the next level."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for part, level, payload, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), b.column(4).to_pylist()):
+                yield _parted(_unpack(payload.as_py()), _bits_for(total, limit_rows), level + 1, part)
+
+    return run
 
 
 def _aggregator(folder: str, memory_mb: int):
@@ -146,21 +176,22 @@ def term_frequencies(
     A measurement (record, term, piece) counts once, however often it is repeated (if its copies differ, the largest
     value); the count of a term in a record is the sum over pieces, and it is detected there if that is above 0. Rows
     with null term, null or negative record, or null or non-finite value do not count; a term with no other rows has
-    sum and detected 0. Keys are whole numbers. Other columns are ignored. An empty table gives no terms and n = 0.
+    sum and detected 0. Keys are whole numbers; a null piece is a piece of its own. Other columns are ignored. An empty table
+    gives no terms and n = 0. A partition that DuckDB aggregates has ``limit_rows`` at most, so that ``memory_mb`` is enough for it
+    in memory; where the shared folder is a mounted one DuckDB may spill there besides.
     """
     spark = rows.sparkSession
     cols = [rows[term].cast("long").alias("term"), rows[record].cast("long").alias("rec"), rows[piece].cast("long").alias("piece"), rows[value].cast("double").alias("val")]
-    blocks = cut(rows.where(rows[term].isNotNull()).select(*cols).mapInArrow(_spill, BLOCK))
+    named = rows.where(rows[term].isNotNull()).select(*cols)
+    blocks = cut(named.mapInArrow(_spill(max(6, _bits_for(named.count(), limit_rows))), BLOCK))
     done = None
-    for _ in range(MAX_LEVEL):
-        sizes = blocks.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > limit_rows)
-        big = [r["part"] for r in sizes.toLocalIterator()]  # few: each holds more than limit_rows rows
-        if not big:
+    for _ in range(64 // LEVEL_BITS - 1):
+        big = cut(blocks.groupBy("part").agg(F.sum("n").alias("total")).where(F.col("total") > limit_rows))
+        if big.isEmpty():
             break
-        over = F.col("part").isin(big)
-        rest = blocks.where(~over)
+        rest = blocks.join(big, "part", "left_anti")
         done = rest if done is None else done.unionAll(rest)
-        blocks = cut(blocks.where(over).mapInArrow(_split_again, BLOCK))
+        blocks = cut(blocks.join(big, "part").select(*blocks.columns, "total").mapInArrow(_split_again(limit_rows), BLOCK))
     done = blocks if done is None else done.unionAll(blocks)
     at = shared_dir(spark)
     folder = at.removeprefix("file://") if at.startswith(("file://", "/")) else ""  # DuckDB spills only to a mounted folder
@@ -171,8 +202,11 @@ def term_frequencies(
 
 
 def mark_terms(freq: DataFrame, n: DataFrame, options: DataFrame) -> DataFrame:
-    """freq with ``marks``, an array of 'rare' and 'common'. ``n`` and ``options`` have one row each and are broadcast."""
-    opt = options.limit(1).select(F.col("min_detected_cells").alias("_cells"), F.col("min_gene_sum").alias("_sum"), F.col("max_detected_share").alias("_share"))
+    """freq with ``marks``, an array of 'rare' and 'common'. ``n`` and ``options`` have one row each and are broadcast; other
+    numbers of options are an error."""
+    if len(options.limit(2).collect()) != 1:
+        raise ValueError("options must have one row")
+    opt = options.select(F.col("min_detected_cells").alias("_cells"), F.col("min_gene_sum").alias("_sum"), F.col("max_detected_share").alias("_share"))
     rare = (F.col("detected") < F.col("_cells")) | (F.col("sum") < F.col("_sum"))
     common = F.col("detected") > F.col("_share") * F.col("n")
     marks = F.array_compact(F.array(F.when(rare, F.lit("rare")), F.when(common, F.lit("common"))))
