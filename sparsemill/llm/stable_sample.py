@@ -21,10 +21,10 @@ def unit_hash(key: Column, salt: str = "") -> Column:
 def running_weights(records: DataFrame, key: str, weight: Column, state: DataFrame | None = None) -> DataFrame:
     """(key, weight): the largest weight of every identifier in ``state`` and ``records``.
 
-    ``state`` is an earlier result. Null and empty keys take no part; a null or NaN weight counts as 0, others are
-    clipped to [0, 1]. One aggregation with partial maxima, so a hot identifier is reduced before the shuffle.
+    ``state`` is an earlier result. Null and empty keys take no part; a null, NaN or negative weight counts as 0; there is no
+    upper bound. One aggregation with partial maxima, so a hot identifier is reduced before the shuffle.
     """
-    w = F.least(F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    w = F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     rows = records.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(F.col(key), w.alias("weight"))
     if state is not None:
         rows = rows.unionByName(state.select(key, "weight"))
