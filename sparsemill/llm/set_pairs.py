@@ -1,9 +1,11 @@
 """Problem 4: all pairs of set-valued records whose sets overlap above a threshold.
 
 Every distinct set gets a code of one-bit minhashes. Two sets of similarity s agree in a bit with probability (1 + s) / 2,
-so among ``segments`` pieces of ``width`` bits at least one is equal with the wanted recall (pigeonhole over the pieces),
-and the distance of the codes stays within a radius that the same calibration gives. Pieces are joined by equality; in the
-join a pair must also pass the size bound and the radius; what is left is verified on the sets themselves.
+so among ``segments`` pieces of ``width`` bits at least one is equal with the wanted recall, and the distance of the codes
+stays within a radius that the same calibration gives. (A strict pigeonhole bound needs more pieces than the radius; where a
+fifth of the bits may differ, such pieces would be too short to part anything, so their number follows the recall.) Pieces
+are joined by equality; in the join a pair must also pass the size bound and the radius; what is left is verified on the
+sets themselves. Equal sets are one class, whose members are expanded to pairs only where a result calls for it.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import cut
+from ._work import chunk_pairs, cut
 
-CHECK_BITS = 192  # bits of the code that travel with a segment and are compared in the join
+CLASS_CHUNK = 1000  # members of a class that meet in one group
+CHECK_BITS = 128  # bits of the code that travel with a segment and are compared in the join
 
 
 def calibrate(n_sets: int, threshold: float, recall: float) -> tuple[int, int, int]:
     """(width, segments, radius): segments of ``width`` bits for the number of sets, as many as the recall needs at the
-    threshold, and the radius in CHECK_BITS that at most 1e-6 of such pairs exceed."""
-    width = min(24, max(8, round(math.log2(max(2, n_sets))) - 3))
+    threshold, and the radius in CHECK_BITS that at most 1e-6 of such pairs exceed. About 64 sets share the value of a piece
+    at any number of sets: fewer would take more pieces, which travel, and comparing costs less than travelling."""
+    width = max(6, round(math.log2(max(2, n_sets))) - 6)
     agree = (1 + threshold) / 2
     segments = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
     p, tail, radius = 1 - agree, 0.0, CHECK_BITS
@@ -80,16 +84,15 @@ def distinct_sets(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, Dat
     """
     flat = rows.where(F.col(key).isNotNull() & (F.col(value) >= 0)).select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).distinct()
     sets = cut(flat.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("items")))
-    # equal sets have equal items, size and digest; the class is found by grouping on the digest alone
-    digest = sets.select("k", F.sha2(F.array_join("items", ","), 256).alias("d"))
-    classes = digest.groupBy("d").agg(F.min("k").alias("s"))
-    members = cut(digest.join(classes, "d").select("k", "s"))
+    # equal sets have equal size and equal digests of 128 bits
+    digest = sets.select("k", F.size("items").alias("d0"), F.xxhash64("items").alias("d1"), F.xxhash64(F.lit("second"), "items").alias("d2"))
+    classes = digest.groupBy("d0", "d1", "d2").agg(F.min("k").alias("s"))
+    members = cut(digest.join(classes, ["d0", "d1", "d2"]).select("k", "s"))
     return members, sets.join(members.where("k = s").select(F.col("s").alias("k")), "k", "left_semi").withColumnRenamed("k", "s")
 
 
 def similar_sets(sets: DataFrame, numerator: int, denominator: int, recall: float) -> DataFrame:
     """(a, b, common, total) of distinct sets a < b whose Jaccard similarity is at least numerator / denominator."""
-    sets = cut(sets)
     n_sets = sets.count()
     threshold = numerator / denominator
     width, segments, radius = calibrate(n_sets, threshold, recall)
@@ -109,15 +112,38 @@ def similar_sets(sets: DataFrame, numerator: int, denominator: int, recall: floa
     return both.where(F.col("common") * denominator >= F.col("total") * numerator).select("a", "b", "common", "total")
 
 
+def similar_classes(rows: DataFrame, key: str, value: str, numerator: int = 3, denominator: int = 5, recall: float = 0.9995) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (k, s), pairs (a, b, common, total) of classes a < b, sets (s, n)): every record's class, the links between
+    classes, and the size of their sets. All members of linked classes, and all of one class, are similar."""
+    members, sets = distinct_sets(rows, key, value)
+    sets = cut(sets)
+    return members, cut(similar_sets(sets, numerator, denominator, recall)), sets.select("s", F.size("items").alias("n"))
+
+
+def record_links(rows: DataFrame, key: str, value: str, numerator: int = 3, denominator: int = 5, recall: float = 0.9995) -> DataFrame:
+    """(k, s, members, links): per record its class, how many records that has, and to how many others it is similar.
+
+    Nothing is expanded: a class of many equal sets costs as many rows as it has members.
+    """
+    members, pairs, _ = similar_classes(rows, key, value, numerator, denominator, recall)
+    size = members.groupBy("s").agg(F.count("*").alias("members"))
+    both = pairs.select(F.col("a").alias("s"), F.col("b").alias("o")).unionAll(pairs.select(F.col("b").alias("s"), F.col("a").alias("o")))
+    links = both.join(size.withColumnsRenamed({"s": "o", "members": "m"}), "o").groupBy("s").agg(F.sum("m").alias("links"))
+    of_class = size.join(links, "s", "left").select("s", "members", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))
+    return members.join(of_class, "s").select("k", "s", "members", "links")
+
+
 def similar_records(rows: DataFrame, key: str, value: str, numerator: int = 3, denominator: int = 5, recall: float = 0.9995) -> DataFrame:
     """(a, b, common, total): all pairs of records a < b with similarity of at least numerator / denominator.
 
-    Distinct sets are joined once; records with equal sets are then expanded to the pairs the result calls for.
+    Distinct sets are joined once; records with equal sets are then expanded to the pairs the result calls for, large
+    classes in chunks, so that no group holds more than the pairs of two of them.
     """
-    members, sets = distinct_sets(rows, key, value)
-    near = similar_sets(sets, numerator, denominator, recall)
-    size = sets.select("s", F.size("items").alias("n"))
-    same = members.alias("x").join(members.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.s").alias("s"))
+    members, near, size = similar_classes(rows, key, value, numerator, denominator, recall)
+    chunks = members.groupBy("s").agg(F.ceil(F.count("*") / CLASS_CHUNK).cast("int").alias("of"), F.count("*").alias("m")).where("m > 1").drop("m")
+    parts = members.join(chunks, "s").withColumn("c", F.pmod(F.xxhash64("k"), F.col("of")).cast("int"))
+    x, y = chunk_pairs(parts, "s", "c", "of")
+    same = x.withColumnRenamed("k", "x").join(y.withColumnRenamed("k", "y"), ["s", "lo", "hi"]).where("lo < hi or x < y").select("s", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = same.join(size, "s").select("a", "b", F.col("n").alias("common"), F.col("n").alias("total"))
     one, two = members.select(F.col("s").alias("a"), F.col("k").alias("ka")), members.select(F.col("s").alias("b"), F.col("k").alias("kb"))
     other = near.join(one, "a").join(two, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "common", "total")
