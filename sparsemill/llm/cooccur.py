@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import cut
+from ._work import chunk_pairs, cut
 
 BASKET = 512  # larger records are counted by pairs of parts
 HELD_PAIRS = 3_000_000
@@ -20,10 +20,18 @@ CLASSES = 512
 P_BINS = 100  # per decade of the p-value
 
 
-def baskets(records: DataFrame, record: str, items: str) -> DataFrame:
-    """Distinct (r, i) of non-null, non-negative items; rows of the same record are united, null records left out."""
-    flat = records.where(F.col(record).isNotNull()).select(F.col(record).alias("r"), F.explode(items).alias("i"))
-    return flat.where("i >= 0").distinct()
+def baskets(records: DataFrame, record: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """(sets (r, x), flat (r, i)): the distinct non-null, non-negative items of every record, those of small records as
+    one array, those of others as rows. Rows of one record are united, records that are null or without items left out.
+
+    A record is small if all its rows together have BASKET items at most, repeats counted, so an array is never long.
+    """
+    kept = F.array_distinct(F.filter(items, lambda i: i >= 0))
+    rows = records.where(F.col(record).isNotNull()).select(F.col(record).alias("r"), F.array_sort(kept.cast("array<long>")).alias("x")).where(F.size("x") > 0)
+    large = cut(rows.groupBy("r").agg(F.sum(F.size("x")).alias("m")).where(F.col("m") > BASKET).select("r"))
+    sets = rows.join(large, "r", "left_anti").groupBy("r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("x")))).alias("x"))
+    flat = rows.join(large, "r", "left_semi").select("r", F.explode("x").alias("i")).distinct()
+    return cut(sets), cut(flat)
 
 
 def _count_pairs(batches):
@@ -85,25 +93,28 @@ def pair_counts(records: DataFrame, record: str, items: str, min_count: int = 8,
 
     All pairs of items a < b with n_ab >= min_count and n_ab * n >= min_ratio * n_a * n_b. Since n_ab is at most the
     smaller frequency, an item below min_count, or in more than n / min_ratio records, is in no such pair and is left
-    out before pairs are counted, which loses none. Pairs are counted per task before the shuffle. Null, empty and
-    missing item lists hold no items; repeated items and rows count once.
+    out before pairs are counted, which loses none. Pairs are counted per task before the shuffle; a record of many items is
+    taken in pairs of chunks of BASKET, each a group of its own. Null, empty and missing item lists hold no items; repeated
+    items and rows count once.
     """
-    flat = cut(baskets(records, record, items))
-    freq = cut(flat.groupBy("i").agg(F.count("*").alias("n_i")))
-    of_record = flat.groupBy("r").agg(F.count("*").alias("k"))
+    sets, flat = baskets(records, record, items)
+    each = sets.select("r", F.explode("x").alias("i")).unionAll(flat)
+    freq = cut(each.groupBy("i").agg(F.count("*").alias("n_i")))
+    of_record = sets.select("r", F.size("x").cast("long").alias("k")).unionAll(flat.groupBy("r").agg(F.count("*").alias("k")))
     sizes = cut(of_record.groupBy("k").agg(F.count("*").alias("records")))
     n = int(sizes.agg(F.sum("records")).first()[0] or 0)
-    useful = freq.where((F.col("n_i") >= min_count) & (F.col("n_i") * F.lit(float(min_ratio)) <= n)).select("i")
-    kept = flat.join(useful, "i", "left_semi")
-    large = kept.groupBy("r").agg(F.count("*").alias("m")).where(F.col("m") > BASKET).select("r", F.ceil(F.col("m") / BASKET).cast("int").alias("parts"))
-    large = cut(large)
-    small = kept.join(large, "r", "left_anti").groupBy("r").agg(F.collect_list("i").alias("x")).select("x", F.lit(None).cast("array<long>").alias("y"))
-    parts = kept.join(large, "r").withColumn("c", F.pmod(F.xxhash64("i"), F.col("parts"))).groupBy("r", "c").agg(F.collect_list("i").alias("x"))
-    left = parts.select("r", F.col("c").alias("c1"), "x")
-    right = parts.select("r", F.col("c").alias("c2"), F.col("x").alias("y"))
-    twos = left.join(right, "r").where("c1 < c2").select("x", "y")
-    ones = parts.select("x", F.lit(None).cast("array<long>").alias("y"))
-    counted = small.unionAll(ones).unionAll(twos).mapInArrow(_count_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    if min_count > 1 or min_ratio > 0:
+        useful = freq.where((F.col("n_i") >= min_count) & (F.col("n_i") * F.lit(float(min_ratio)) <= n)).select("i")
+        small = sets.select("r", F.explode("x").alias("i")).join(useful, "i", "left_semi").groupBy("r").agg(F.collect_list("i").alias("x"))
+        flat = flat.join(useful, "i", "left_semi")
+    else:
+        small = sets
+    chunks = flat.groupBy("r").agg(F.ceil(F.count("*") / BASKET).cast("int").alias("of"))
+    parts = flat.join(chunks, "r").withColumn("c", F.pmod(F.xxhash64("i"), F.col("of")).cast("int")).groupBy("r", "c", "of").agg(F.collect_list("i").alias("x"))
+    left, right = chunk_pairs(cut(parts), "r", "c", "of")
+    both = left.join(right.withColumnRenamed("x", "y"), ["r", "lo", "hi"]).select("x", F.when(F.col("lo") < F.col("hi"), F.col("y")).alias("y"))
+    counted = small.select("x", F.lit(None).cast("array<long>").alias("y")).unionAll(both).mapInArrow(_count_pairs, "a long, b long, n long")
+    counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
     fa, fb = freq.select(F.col("i").alias("a"), F.col("n_i").alias("n_a")), freq.select(F.col("i").alias("b"), F.col("n_i").alias("n_b"))
     out = counted.join(fa, "a").join(fb, "b").withColumn("n", F.lit(n))
     out = out.where(F.col("n_ab") * F.col("n") >= F.lit(float(min_ratio)) * F.col("n_a") * F.col("n_b"))
