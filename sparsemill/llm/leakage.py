@@ -3,8 +3,9 @@
 Both sides are normalised to words parted by single blanks. Every position of the corpus is hashed over q characters and
 looked up among the q-grams of the items. Shared q-grams are counted in overlapping bands of diagonals; a region of the
 least passage length that holds at least ``length - q + 1 - q * edits`` of them can hide a passage within the edit budget
-(q-gram lemma), anything else cannot. Retained regions are verified by banded alignment, and the longest run of equal
-words on one diagonal is measured exactly.
+(q-gram lemma), anything else cannot. Every retained region is verified by banded alignment, diagonal by diagonal: each
+stretch of equal text in it is extended to both sides as far as every number of edits allows, which meets a passage
+wherever in it the edits are. The longest run of equal words on one diagonal is measured exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LETTER, NUMBER, classes, format_chars, spread, utf8_parts
+from ._work import cut
 from .bpe import chunks
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -25,7 +27,6 @@ _ROOT_INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 BITMAP_BITS = 23
 ITEM_BLOCK_BYTES = 8_000_000
-RETRIED = 20_000  # regions aligned again at a time
 HELD_HITS = 2_000_000
 BLANK = 32
 
@@ -125,48 +126,59 @@ class Items:
         return at[ok], gram[ok]
 
 
-def banded_edits(a: np.ndarray, a_at: np.ndarray, length: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_low: np.ndarray, b_high: np.ndarray, half: int) -> np.ndarray:
-    """Least edits that turn a[a_at : a_at + length] into a part of b that begins and ends within ``half`` of b_at's diagonal.
+def reach(a: np.ndarray, a_at: np.ndarray, a_room: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_room: np.ndarray, step: int, edits: int, enough: np.ndarray) -> np.ndarray:
+    """[row, e]: how many characters of a, from a_at on in direction ``step``, align with b from b_at on with at most e edits.
 
-    One row of the dynamic program at a time, for all regions together; b outside [b_low, b_high) never matches.
+    Furthest-reaching rows of the band of diagonals within ``edits`` of the first, all stretches together; room: characters there
+    are; no row goes further than ``enough``.
+    """
+    n, width = len(a_at), 2 * edits + 1
+    shift = np.arange(-edits, edits + 1)  # characters of b ahead of a
+    a_room = np.minimum(a_room, enough)
+    out = np.zeros((n, edits + 1), np.int64)
+    far = np.full((n, width), -1, np.int64)
+    far[:, edits] = 0
+    for e in range(1, edits + 1):
+        was = np.pad(far, ((0, 0), (1, 1)), constant_values=-1)
+        swap = np.where(was[:, 1:-1] >= 0, was[:, 1:-1] + 1, -1)
+        skip = np.where(was[:, 2:] >= 0, was[:, 2:] + 1, -1)
+        new = np.maximum(np.maximum(swap, skip), was[:, :-2])
+        # beyond the end of either text a row cannot go; a character of a may still be given up there
+        new = np.where(new >= 0, np.minimum(np.minimum(new, a_room[:, None]), b_room[:, None] - shift), -1)
+        new = np.where(new + shift < 0, -1, new)
+        row, lane = np.nonzero((new >= 0) & (new < a_room[:, None]))
+        p = new[row, lane]
+        while len(row):
+            d = p + shift[lane]
+            ok = (p < a_room[row]) & (d < b_room[row])
+            row, lane, p, d = row[ok], lane[ok], p[ok], d[ok]
+            same = a[a_at[row] + step * p] == b[b_at[row] + step * d]
+            row, lane, p = row[same], lane[same], p[same] + 1
+            new[row, lane] = p
+        far = np.maximum(far, new)
+        out[:, e] = far.max(1)
+    return out
+
+
+def exact_runs(items: Items, pair: np.ndarray, item: np.ndarray, d_at: np.ndarray, i_pos: np.ndarray, chars: np.ndarray, d_low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run of each hit; then per run its first and last hit, and the number of whole equal words in it).
+
+    A run is a stretch of equal text as long as it can be: hits that follow one another on a diagonal.
     """
-    n, width = len(a_at), 2 * half + 1
-    row = np.zeros((n, width), np.int32)  # free shift at the beginning
-    lane = np.arange(width)
-    best = np.zeros(n, np.int32)
-    for i in range(int(length.max(initial=0))):
-        live = i < length
-        ac = a[np.minimum(a_at + i, len(a) - 1)]
-        bp = (b_at + i - half)[:, None] + lane
-        ok = (bp >= b_low[:, None]) & (bp < b_high[:, None])
-        differs = ~(ok & (b[np.clip(bp, 0, len(b) - 1)] == ac[:, None]))
-        new = row + differs
-        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
-        # insertions along the row: new[j] = min over k <= j of new[k] + j - k
-        new = np.minimum.accumulate(new - lane, axis=1) + lane
-        row = np.where(live[:, None], new, row).astype(np.int32)
-    best = row.min(1)
-    return best
-
-
-def exact_words(items: Items, doc: np.ndarray, item: np.ndarray, d_pos: np.ndarray, i_pos: np.ndarray, chars: np.ndarray, d_off: np.ndarray) -> np.ndarray:
-    """Per hit, the number of whole equal words in the run of hits on its diagonal (runs carry the same value)."""
     q = items.q
-    key = np.lexsort((d_pos, d_pos - i_pos, item, doc))
-    d, it, dp, ip = doc[key], item[key], d_pos[key], i_pos[key]
-    head = np.concatenate([[True], (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (dp[1:] != dp[:-1] + 1) | (ip[1:] != ip[:-1] + 1)])
-    run = np.cumsum(head) - 1
+    key = np.lexsort((d_at, d_at - i_pos, pair))
+    p, dp, ip = pair[key], d_at[key], i_pos[key]
+    head = np.concatenate([[True], (p[1:] != p[:-1]) | (dp[1:] != dp[:-1] + 1) | (ip[1:] != ip[:-1] + 1)])
+    run = np.empty(len(key), np.int64)
+    run[key] = np.cumsum(head) - 1
     first = np.flatnonzero(head)
-    last = np.append(first[1:], len(key)) - 1
-    begin, end = d_off[d[first]] + dp[first], d_off[d[first]] + dp[last] + q  # the equal stretch in chars
-    i_begin = items.offsets[it[first]] + ip[first]
+    first, last = key[first], key[np.append(first[1:], len(key)) - 1]
+    begin, end = d_at[first], d_at[last] + q  # the equal stretch in chars
+    i_begin = items.offsets[item[first]] + i_pos[first]
     blanks = np.concatenate([[0], np.cumsum(chars == BLANK)])
     within = blanks[end] - blanks[begin]  # each ends a word in both texts
-    opens = ((dp[first] == 0) | (chars[np.maximum(begin - 1, 0)] == BLANK)) & ((ip[first] == 0) | (items.chars[np.maximum(i_begin - 1, 0)] == BLANK))
-    words = within - ~opens  # else the first blank ends a word that began before the stretch
-    out = np.zeros(len(key), np.int64)
-    out[key] = np.maximum(words, 0)[run]
-    return out
+    opens = ((begin == d_low[first]) | (chars[np.maximum(begin - 1, 0)] == BLANK)) & ((i_pos[first] == 0) | (items.chars[np.maximum(i_begin - 1, 0)] == BLANK))
+    return run, first, last, np.maximum(within - ~opens, 0)  # else the first blank ends a word that began before the stretch
 
 
 def find_leaks(
@@ -176,25 +188,30 @@ def find_leaks(
     """(id, item_id, shared, edits, exact_words): documents holding a passage of an item.
 
     A passage is at least ``min_words`` words of the item (in characters: the item's shortest such stretch) with at most
-    ``edits`` character edits. ``shared``: q-grams in its best region; ``edits``: those of the alignment there;
-    ``exact_words``: the longest run of consecutive words equal in both. A pair comes once. The documents are scanned
-    once a block of items, without a shuffle; a block has ITEM_BLOCK_BYTES at most, so what is sent to the executors is
-    bounded. Null, empty and short items and texts find nothing; a repeated document row repeats its pairs.
+    ``edits`` character edits, wherever they are. ``shared``: q-grams in its best region; ``edits``: the fewest that align a
+    passage; ``exact_words``: the longest run of consecutive words equal in both. A pair comes once. Every passage is found
+    whose shortest stretch has (q + 1) * (edits + 1) - 1 characters or more (38 here); of a shorter one a stretch of q
+    characters must be unedited. Null, empty and short items and texts find nothing; a repeated document row repeats its
+    pairs.
+
+    Items are searched for in blocks of ITEM_BLOCK_BYTES, each sent to the executors in one scan of the documents without a
+    shuffle. If there are several blocks, what one finds is written before the next is read, so that the driver and the
+    plan hold one block whatever the number of items.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).where("length(_text) > 0")
     held = tests.select(tests[item_col].alias("i"), tests[item_text_col].cast("string").alias("t")).where("length(t) > 0")
-    found = None
-    for block in _blocks(held):
-        part = rows.mapInArrow(_scanner(block, q, min_words, edits), f"id {kind}, item {item_kind}, shared int, edits int, exact_words int")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], f"id {kind}, item {item_kind}, shared int, edits int, exact_words int")
+    scanned = lambda block: rows.mapInArrow(_scanner(block, q, min_words, edits), f"id {kind}, item {item_kind}, shared int, edits int, exact_words int")
+    blocks = _blocks(held)
+    block, more = next(blocks, []), next(blocks, None)
+    found = scanned(block) if more is None else cut(scanned(block))
+    while more is not None:
+        found, more = found.unionAll(cut(scanned(more))), next(blocks, None)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
 def _blocks(held: DataFrame) -> Iterable[list[tuple]]:
-    """The items in blocks of bounded size; one block is on the driver at a time."""
+    """The items in blocks of bounded size."""
     block, size = [], 0
     for r in held.toLocalIterator():
         block.append((r["i"], r["t"]))
@@ -261,7 +278,8 @@ def scan(items: Items, texts: list[str]) -> tuple[np.ndarray, ...]:
     doc, item, i_pos, d_pos, pair = doc[ok], item[ok], i_pos[ok], d_pos[ok], pair[ok]
     if not len(doc):
         return none
-    words = exact_words(items, doc, item, d_pos, i_pos, chars, d_off)
+    at = d_off[doc] + d_pos
+    run, first, last, words = exact_runs(items, pair, item, at, i_pos, chars, d_off[doc])
     # bands of diagonals: each is 2 * step wide and shares half of it with the next, so that a shift by the edits fits one
     step = max(1, items.edits)
     band = (d_pos - i_pos) // step
@@ -274,53 +292,36 @@ def scan(items: Items, texts: list[str]) -> tuple[np.ndarray, ...]:
     group = np.cumsum(head) - 1
     fresh = head | np.concatenate([[True], x[1:] != x[:-1]])  # each corpus position counts once in a band
     seen = np.cumsum(fresh)
-    reach = items.length[item[src]] - q
-    wide = np.int64(d_off[-1] + 1 + reach.max())
-    key = group * wide + x
-    stop = np.searchsorted(key, key + reach, "right")
+    span = items.length[item[src]] - q + items.edits  # edits may stretch a passage
+    key = group * np.int64(d_off[-1] + 1 + span.max()) + x
+    stop = np.searchsorted(key, key + span, "right")
     shared = seen[stop - 1] - seen + 1
-    shared[~fresh] = 0
-    best = np.maximum.reduceat(shared, np.flatnonzero(head))
-    keep = best >= items.need[item[src[head]]]
-    if not keep.any():
+    held = np.flatnonzero(fresh & (shared >= items.need[item[src]]))
+    if not len(held):
         return none
-    top = np.flatnonzero((shared == best[group]) & keep[group])
-    g, first = np.unique(group[top], return_index=True)
-    top = top[first]
-    s, half = src[top], 2 * step
-    sh = shared[top]
-    i_at = np.clip(i_pos[s], 0, np.maximum(0, items.offsets[item[s] + 1] - items.offsets[item[s]] - items.length[item[s]]))
-
-    def edits_of(s, i_at):
-        d, it = doc[s], item[s]
-        return banded_edits(items.chars, items.offsets[it] + i_at, items.length[it], chars, d_off[d] + d_pos[s] - i_pos[s] + i_at, d_off[d], d_off[d + 1], half)
-
-    good = (ed := edits_of(s, i_at)) <= items.edits
-    pp, sh, ee = pair[s][good], sh[good], ed[good]
-    # pairs without a passing region: every other retained one, begun up to where the edits may have cost its first q-grams
-    rest = np.flatnonzero((shared >= items.need[item[src]]) & fresh & ~np.isin(p, pp))
-    back = np.arange(items.edits * q + 1)
-    for c in range(0, len(rest), RETRIED):
-        of = rest[c : c + RETRIED]
-        s = np.repeat(src[of], len(back))
-        most_at = np.maximum(0, items.offsets[item[s] + 1] - items.offsets[item[s]] - items.length[item[s]])
-        i_at, n_sh = np.clip(i_pos[s] - np.tile(back, len(of)), 0, most_at), np.repeat(shared[of], len(back))
-        # overlapping regions share their beginnings: each is aligned once
-        order = np.lexsort((-n_sh, i_at, d_pos[s] - i_pos[s], pair[s]))
-        s, i_at, n_sh = s[order], i_at[order], n_sh[order]
-        at_ = np.stack([pair[s], d_pos[s] - i_pos[s], i_at])
-        new = np.concatenate([[True], (at_[:, 1:] != at_[:, :-1]).any(0)])
-        s, i_at, n_sh = s[new], i_at[new], n_sh[new]
-        good = (ed := edits_of(s, i_at)) <= items.edits
-        pp, sh, ee = np.concatenate([pp, pair[s][good]]), np.concatenate([sh, n_sh[good]]), np.concatenate([ee, ed[good]])
-    if not len(pp):
+    # every run with a hit in a retained region is extended to both sides
+    inside = np.cumsum(np.bincount(held, minlength=len(src) + 1) - np.bincount(stop[held], minlength=len(src) + 1))[:-1] > 0
+    runs = np.unique(run[src[inside]])
+    f, z = first[runs], last[runs]
+    it, low, high = item[f], d_off[doc[f]], d_off[doc[f] + 1]
+    i0, i1 = items.offsets[it] + i_pos[f], items.offsets[it] + i_pos[z] + q
+    size, length = i1 - i0, items.length[it]
+    enough = np.maximum(length - size, 0)
+    left = reach(items.chars, i0 - 1, i0 - items.offsets[it], chars, at[f] - 1, at[f] - low, -1, items.edits, enough)
+    right = reach(items.chars, i1, items.offsets[it + 1] - i1, chars, at[z] + q, high - at[z] - q, 1, items.edits, enough)
+    fewest = np.full(len(runs), items.edits + 1)
+    for e in range(items.edits, -1, -1):
+        within = np.max([left[:, i] + right[:, e - i] for i in range(e + 1)], axis=0) + size >= length
+        fewest[within] = e
+    good = fewest <= items.edits
+    # one row a pair: its fewest edits, its best region and its longest exact run
+    u, of = np.unique(pair[f][good], return_inverse=True)
+    if not len(u):
         return none
-    # one row a pair: its best region and its longest exact run
-    order = np.lexsort((-sh, ee, pp))
-    pp, sh, ee = pp[order], sh[order], ee[order]
-    u, first = np.unique(pp, return_index=True)
-    most = np.zeros(len(u), np.int64)
-    place = np.searchsorted(u, pair)
-    hit = (place < len(u)) & (u[np.minimum(place, len(u) - 1)] == pair)
-    np.maximum.at(most, place[hit], words[hit])
-    return u // len(items.ids), u % len(items.ids), sh[first], ee[first], most
+    fewest_of, best, most = np.full(len(u), items.edits), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+    np.minimum.at(fewest_of, of, fewest[good])
+    for values, keys, out in ((shared[held], p[held], best), (words, pair[first], most)):
+        place = np.minimum(np.searchsorted(u, keys), len(u) - 1)
+        hit = u[place] == keys
+        np.maximum.at(out, place[hit], values[hit])
+    return u // len(items.ids), u % len(items.ids), best, fewest_of, most
