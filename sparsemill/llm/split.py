@@ -99,11 +99,13 @@ def split_oversized(
     ``limits`` (kind, max_tokens, overlap_tokens) is a table of settings; the row ``other`` serves null and unknown
     kinds, and without it such texts are not cut. It is joined by key, so its size decides the join. Texts within their
     limit, null and empty ones give no rows. Repeated rows give repeated pieces; other columns are ignored.
-    An overlap that is not below its limit is an error.
+    An overlap that is not below its limit is an error, and so are two different rows of a kind.
     """
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
-    lim = limits.select(F.col(kind_col).alias("_kind"), F.col("max_tokens").cast("int").alias("_most"), F.col("overlap_tokens").cast("int").alias("_over")).dropDuplicates(["_kind"])
+    lim = limits.select(F.col(kind_col).alias("_kind"), F.col("max_tokens").cast("int").alias("_most"), F.col("overlap_tokens").cast("int").alias("_over")).distinct()
+    if not lim.groupBy("_kind").count().where("count > 1 and _kind is not null").isEmpty():
+        raise ValueError("a kind has different limits")
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), docs[kind_col].alias("_key"))
     # a text of at most so many bytes has at most so many tokens
     rest = lim.where("_kind = 'other'").select(F.col("_most").alias("_rest_most"), F.col("_over").alias("_rest_over"))
