@@ -1,10 +1,11 @@
 """Problem 3: the most similar vectors of every vector.
 
-NN-descent: a first neighbour graph is improved by joining neighbours of neighbours until few entries change. The first
-graph is exact within leaves of a coarse partition whose centroids are fitted on a bounded sample: a vector is a member of
-its nearest leaf and visits its ``probes`` nearest, so most true neighbours meet at once. A round sends every vector to
-the blocks in which it is a neighbour, compares all pairs of neighbours of each node there, and merges what improves a
-list. Queries are answered by greedy search along the graph.
+NN-descent: a light first graph is improved, round by round, by joining neighbours of neighbours until few entries change.
+The first graph compares vectors within the leaves of a coarse partition whose centroids are fitted on a bounded sample: a
+vector is a member of its nearest leaf and visits a few more. Crowded leaves are split by hash, which leaves a random start
+within them. A round sends every vector to the blocks in which it is a neighbour, compares all pairs of neighbours of each
+node there, and merges what improves a list; where a node lives decides only what has to travel, not what can meet. Queries
+are answered by greedy search along the graph.
 
 All vectors are scaled to unit length; similarity is the cosine.
 """
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import spread
-from ._work import cut, shuffle_parts
+from ._work import cut, drop, shuffle_parts
 
-HUB_LINKS = 64
-GRAPH = "id long, home int, nbrs array<long>, sims array<float>, homes array<int>"
+LISTS = "id long, home int, nbrs array<long>, sims array<float>, homes array<int>"
+BORDER = 1e-4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+GRAPH = LISTS + ", fresh int"
 
 
 # -- arrays -----------------------------------------------------------------------------------------------------------
@@ -169,8 +172,9 @@ def fit_leaves(sample: np.ndarray, count: int, seed: int = 7, rounds: int = 8) -
 class Layout:
     """Leaves and their blocks, with a bound on what meets in one block.
 
-    A leaf with many members is split by a hash of the id: its members and visitors meet within a part. A leaf with few
-    members and many visitors (a crowd nearby) has its visitors split, and its members in every part.
+    A leaf with many members is split by a hash of the id: its members and visitors meet within a part, and its members
+    visit one other part as well, so that links lead from every part to others and the rounds bring the rest together. A
+    leaf with few members and many visitors (a crowd nearby) has its visitors split, and its members in every part.
     """
 
     def __init__(self, sample: np.ndarray, n: int, leaf_rows: int, block_leaves: int, probes: int):
@@ -202,11 +206,17 @@ class Layout:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
     def places(self, ids: np.ndarray, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(leaf, block) of the ``probes`` nearest leaves, nearest first."""
+        """(leaf, block) of the ``probes`` nearest leaves, nearest first, and of another part of the nearest (leaf -1: none)."""
         top = self._nearest(x, probes)
         with np.errstate(over="ignore"):
-            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return top, self.block[top] + (h[:, None] % self.parts[top].astype(np.uint64)).astype(np.int64)
+            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+        parts = self.parts[top]
+        part = (h[:, None] % parts.astype(np.uint64)).astype(np.int64)
+        block = self.block[top] + part
+        more = (parts[:, 0] > 1) & ~self.spread[top[:, 0]]
+        step = 1 + ((h >> np.uint64(20)) % np.maximum(parts[:, 0] - 1, 1).astype(np.uint64)).astype(np.int64)
+        other = np.where(more, self.block[top[:, 0]] + (part[:, 0] + step) % parts[:, 0], block[:, 0])
+        return np.column_stack([top, np.where(more, top[:, 0], -1)]), np.column_stack([block, other])
 
     def copies(self, leaf: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, block): the other blocks in which members of spread leaves take part."""
@@ -290,8 +300,8 @@ def _from_bytes(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _lists(ids, home, rows, cols, sims, col_ids, col_homes, vec=None):
-    """Arrow rows (id, home, nbrs, sims, homes[, vec]) from triples ordered by row."""
+def _lists(ids, home, rows, cols, sims, col_ids, col_homes):
+    """Arrow columns (id, home, nbrs, sims, homes) from triples ordered by row."""
     import pyarrow as pa
 
     count = np.bincount(rows, minlength=len(ids))
@@ -300,10 +310,7 @@ def _lists(ids, home, rows, cols, sims, col_ids, col_homes, vec=None):
         pa.array(ids), pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(col_ids)), pa.ListArray.from_arrays(ends, pa.array(sims.astype(np.float32))),
         pa.ListArray.from_arrays(ends, pa.array(col_homes.astype(np.int32))),
     ]
-    names = ["id", "home", "nbrs", "sims", "homes"]
-    if vec is not None:
-        part, names = [*part, vec], [*names, "vec"]
-    return pa.Table.from_arrays(part, names)
+    return pa.Table.from_arrays(part, ["id", "home", "nbrs", "sims", "homes"])
 
 
 def _first_graph(dim: int, k: int):
@@ -321,143 +328,140 @@ def _first_graph(dim: int, k: int):
         probe[np.repeat(np.arange(len(ids)), size), spread(np.zeros(len(ids), np.int64), size)] = lists.flatten().to_numpy()
         rows, cols, sims = block_neighbours(x, leaf, probe, k)
         vec = table.column("vec").combine_chunks().take(pa.array(np.arange(len(ids)), mask=leaf < 0))
-        return _lists(ids, home, rows, cols, sims, ids[cols], home[cols], vec)
+        return _lists(ids, home, rows, cols, sims, ids[cols], home[cols]).append_column("vec", vec)
 
     return run
 
 
 def _merge_lists(k: int):
-    """One partition of partial lists -> one list an id; the partition is held as a whole."""
+    """One partition of partial lists -> one list an id with its vector, which one of its rows has; the partition, whose size
+    is bounded, is held as a whole."""
 
     def run(batches):
         import pyarrow as pa
 
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        all_ids = t.column("id").to_numpy()
-        ids, place = np.unique(all_ids, return_inverse=True)
-        lists = t.column("nbrs").combine_chunks()
-        size = lists.value_lengths().to_numpy().astype(np.int64)
+        ids, place = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        size = t.column("nbrs").combine_chunks().value_lengths().to_numpy().astype(np.int64)
         row = np.repeat(place, size)
         col, sim, homes = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("nbrs", "sims", "homes"))
         keep = best_of(row, col, sim, k)
         home = np.zeros(len(ids), np.int32)
         home[place] = t.column("home").to_numpy()
-        vec = None
-        if "vec" in t.column_names:
-            has = np.flatnonzero(np.asarray(t.column("vec").combine_chunks().is_valid()))
-            at = np.full(len(ids), -1)
-            at[place[has]] = has
-            vec = t.column("vec").combine_chunks().take(pa.array(np.where(at >= 0, at, 0), mask=at < 0))
-        yield from _lists(ids, home, row[keep], col[keep], sim[keep], col[keep], homes[keep], vec).to_batches()
+        has = np.flatnonzero(np.asarray(t.column("vec").combine_chunks().is_valid()))
+        at = np.zeros(len(ids), np.int64)
+        at[place[has]] = has
+        yield from _lists(ids, home, row[keep], col[keep], sim[keep], col[keep], homes[keep]).append_column("vec", t.column("vec").combine_chunks().take(pa.array(at))).to_batches()
 
     return run
 
 
-def _by_id(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "id")
+def _improve_lists(k: int):
+    """Rows with a list and ``more`` entries, none of which it has -> the best of both; ``fresh``: how many of more."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def first_graph(vectors: DataFrame, dim: int, k: int, leaf_rows: int, block_leaves: int, probes: int, sample_rows: int, parts: int) -> DataFrame:
-    n = vectors.count()
-    layout = Layout(sample_vectors(vectors, dim, sample_rows), n, leaf_rows, block_leaves, probes)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            lens, m_lens = (b.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 5))
+            more = b.column(5).flatten()
+            row = np.concatenate([np.repeat(np.arange(n), lens), np.repeat(np.arange(n), m_lens)])
+            col, sim, homes = (np.concatenate([b.column(i).flatten().to_numpy(), more.field(j).to_numpy()]) for i, j in ((2, 0), (3, 1), (4, 2)))
+            keep = best_of(row, col, sim, k)
+            fresh = np.bincount(row[keep], keep >= lens.sum(), n).astype(np.int32)
+            yield from _lists(b.column(0), b.column(1).to_numpy(), row[keep], col[keep], sim[keep], col[keep], homes[keep]).append_column("fresh", pa.array(fresh)).to_batches()
+
+    return run
+
+
+def first_graph(vectors: DataFrame, n: int, dim: int, k: int, leaf_rows: int, block_leaves: int, probes: int, sample_rows: int, parts: int) -> DataFrame:
+    """Lists within leaves, with the vectors."""
+    layout = Layout(sample_vectors(vectors, dim, min(sample_rows, 16 * (n // leaf_rows + 1))), n, leaf_rows, block_leaves, probes)
     routed = vectors.mapInArrow(_router(layout, dim, probes), "block int, id long, home int, leaf int, probe array<int>, vec binary")
-    lists = routed.groupBy("block").applyInArrow(_first_graph(dim, k), GRAPH + ", vec binary")
-    return cut(_by_id(lists, parts).mapInArrow(_merge_lists(k), GRAPH + ", vec binary"))
+    lists = routed.repartition(parts, "block").groupBy("block").applyInArrow(_first_graph(dim, k), LISTS + ", vec binary")
+    return cut(lists.repartition(parts, "id").mapInArrow(_merge_lists(k), LISTS + ", vec binary"), "id", parts)
 
 
-def descent_round(graph: DataFrame, dim: int, k: int, reverse: int, parts: int, last: bool) -> DataFrame:
-    """One round of NN-descent over a graph with their vectors: an improved graph (without vectors if the last).
+def descent_round(graph: DataFrame, vectors: DataFrame, dim: int, k: int, reverse: int, hub_links: int, parts: int, turn: int) -> DataFrame:
+    """One round of NN-descent over the lists of ``graph`` and ``vectors`` (id, vec), both in buckets of id: the improved graph.
 
-    A node's neighbours are those of its list and a hashed choice of ``reverse`` nodes that list it; a node that very many
-    list takes part with a hashed choice of HUB_LINKS of them. The neighbours of a node are neighbours of neighbours of one
-    another: each goes to the node's home block, where all pairs are compared.
+    A node's neighbours are those of its list and ``reverse`` of the nodes that list it; a node that very many list draws
+    those from ``hub_links`` of them. Both choices are by hash and made anew every ``turn``. The neighbours of a node are
+    neighbours of neighbours of one another: each goes to the node's home block, where all pairs are compared. Lists and
+    vectors stay where they are; links, vectors for other blocks and what improves a list travel.
     """
     links = graph.select(F.col("id").alias("src"), F.col("home").alias("src_home"), F.explode("nbrs").alias("id"))
-    some = Window.partitionBy("id").orderBy(F.xxhash64("id", "src"), "src")
-    links = links.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= HUB_LINKS)
+    some = Window.partitionBy("id").orderBy(F.pmod(F.hash("id", "src", F.lit(turn)), F.lit(4096)), "src")  # twelve bits, since they travel
+    links = links.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= hub_links)
     back = links.groupBy("id").agg(F.collect_list("src").alias("b_src"), F.collect_list("src_home").alias("b_home"))
-    sent = graph.join(back, "id", "left").select("id", "home", "nbrs", "sims", "homes", "vec", "b_src", "b_home")
-    posted = sent.mapInArrow(_poster(k), "block int, id long, home int, kth float, nodes array<long>, known array<long>, vec binary")
-    better = posted.groupBy("block").applyInArrow(_local_join(dim, k, reverse), GRAPH)
-    if last:
-        return cut(_by_id(graph.drop("vec").unionAll(better), parts).mapInArrow(_merge_lists(k), GRAPH))
-    better = better.withColumn("vec", F.lit(None).cast("binary"))
-    return cut(_by_id(graph.unionAll(better), parts).mapInArrow(_merge_lists(k), GRAPH + ", vec binary"))
+    kth = F.when(F.size("nbrs") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("kth")
+    sent = graph.select("id", "home", "nbrs", kth, "homes").join(back, "id", "left").join(vectors, "id").select("id", "home", "nbrs", "kth", "homes", "vec", "b_src", "b_home")
+    posted = sent.mapInArrow(_poster, "block int, id long, home int, kth float, nodes array<long>, known array<long>, vec binary")
+    better = posted.repartition(parts, "block").groupBy("block").applyInArrow(_local_join(dim, k, reverse, turn), "id long, nbr long, sim float, home int").repartition(parts, "id")
+    more = better.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("home").alias("home")).groupBy("id").agg(F.collect_list(F.struct("nbr", "sim", "home")).alias("more"))
+    both = graph.select("id", "home", "nbrs", "sims", "homes").join(more, "id", "left")
+    return cut(both.mapInArrow(_improve_lists(k), GRAPH), "id", parts)
 
 
-def _poster(k: int):
-    """Each vector to the home blocks of its adjacent nodes, with the nodes it is adjacent to there."""
+def _poster(batches):
+    """Each vector to the home blocks of its adjacent nodes, with the nodes it is adjacent to there (-1 - node: it lists the node)."""
+    import pyarrow as pa
 
-    def run(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, home, kth = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        lens, b_len = (batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 6))
+        f_node, f_home, b_node, b_home = (batch.column(i).flatten().to_numpy() for i in (2, 4, 6, 7))
+        # as a reverse neighbour it goes to those it lists; as a listed one, to those that list it
+        row, block = np.concatenate([np.repeat(np.arange(len(ids)), n) for n in (lens, b_len)]), np.concatenate([f_home, b_home]).astype(np.int64)
+        node = np.concatenate([-f_node - 1, b_node])
+        order = np.argsort((row << 32) + block, kind="stable")
+        row, node, block = row[order], node[order], block[order]
+        head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(head, len(row)).astype(np.int32))
+        r = row[head]
+        at = pa.array(r)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(block[head].astype(np.int32)), pa.array(ids[r]), pa.array(home[r]), pa.array(kth[r]),
+                pa.ListArray.from_arrays(ends, pa.array(node)), batch.column(2).take(at), batch.column(5).take(at),
+            ],
+            ["block", "id", "home", "kth", "nodes", "known", "vec"],
+        )
+
+
+def _local_join(dim: int, k: int, reverse: int, turn: int):
+    def run(table):
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lens = batch.column(2).value_lengths().to_numpy().astype(np.int64)
-            n = len(ids)
-            # as a reverse neighbour it goes to those it lists; as a listed one, to those that list it
-            f_row, f_node, f_home = np.repeat(np.arange(n), lens), batch.column(2).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
-            b_len = batch.column(6).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            b_row, b_node, b_home = np.repeat(np.arange(n), b_len), batch.column(6).flatten().to_numpy(), batch.column(7).flatten().to_numpy()
-            sims = batch.column(3).flatten().to_numpy()
-            kth = np.full(n, -2.0, np.float32)
-            full = lens >= k
-            kth[full] = np.minimum.reduceat(sims, (np.cumsum(lens) - lens)[lens > 0])[full[lens > 0]] if len(sims) else -2.0
-            row, node, block = np.concatenate([f_row, b_row]), np.concatenate([f_node, b_node]), np.concatenate([f_home, b_home])
-            back = np.concatenate([np.ones(len(f_row), bool), np.zeros(len(b_row), bool)])  # the vector lists the node
-            order = np.lexsort((node, block, row))
-            row, node, block, back = row[order], node[order], block[order], back[order]
-            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
-            size = np.diff(np.append(head, len(row)))
-            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            r = row[head]
-            signed = np.where(back, -node - 1, node)
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[head].astype(np.int32)), pa.array(ids[r]), pa.array(home[r]), pa.array(kth[r]),
-                    pa.ListArray.from_arrays(ends, pa.array(signed)), batch.column(2).take(at), batch.column(5).take(at),
-                ],
-                ["block", "id", "home", "kth", "nodes", "known", "vec"],
-            )
-
-    return run
-
-
-def _local_join(dim: int, k: int, reverse: int):
-    def run(table):
         ids, home, kth = (table.column(c).to_numpy() for c in ("id", "home", "kth"))
         x = _from_bytes(table.column("vec"), dim)
         nodes = table.column("nodes").combine_chunks()
         size = nodes.value_lengths().to_numpy().astype(np.int64)
         who, node = np.repeat(np.arange(len(ids)), size), nodes.flatten().to_numpy()
         back = node < 0
-        node = np.where(back, -node - 1, node)
+        node = np.unique(np.where(back, -node - 1, node), return_inverse=True)[1]
         # an adjacency of node and vector comes once; listed ones are all kept, reverse ones by hash
+        key = np.sort(((node * len(ids) + who) << 1) + back)
+        key = key[np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])] if len(key) else key
+        back, (node, who) = (key & 1).astype(bool), np.divmod(key >> 1, len(ids))
         with np.errstate(over="ignore"):
-            h = ((ids[who].astype(np.uint64) ^ node.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        order = np.lexsort((h, back, node))
-        who, node, back = who[order], node[order], back[order]
-        first = np.unique(np.stack([node, who]), axis=1, return_index=True)[1] if len(node) else np.zeros(0, np.int64)
-        first.sort()
-        who, node, back = who[first], node[first], back[first]
+            h = ((ids[who].astype(np.uint64) ^ (node.astype(np.uint64) + np.uint64(turn) * _ODD)) * _ODD) >> np.uint64(34)
+        order = np.argsort(((node * 2 + back) << 30) + h.astype(np.int64))
+        node, who, back = node[order], who[order], back[order]
         head = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (back[1:] != back[:-1])])) if len(node) else np.zeros(0, np.int64)
         rank = np.arange(len(node)) - np.repeat(head, np.diff(np.append(head, len(node))))
         keep = ~back | (rank < reverse)
         who, node = who[keep], node[keep]
         head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
         count = np.diff(np.append(head, len(node)))
-        known = table.column("known").combine_chunks()
-        k_len = known.value_lengths().to_numpy().astype(np.int64)
-        k_id = known.flatten().to_numpy()
-        base, of = np.unique(np.concatenate([ids, k_id]), return_inverse=True)
-        place, k_place = of[: len(ids)], of[len(ids) :]
-        had = np.sort(np.repeat(np.arange(len(ids)), k_len) * len(base) + k_place)
         out: list[tuple] = []
         for c in np.unique(count[count > 1]):
             rows = np.flatnonzero(count == c)
@@ -468,79 +472,140 @@ def _local_join(dim: int, k: int, reverse: int):
                 s = np.matmul(v, v.transpose(0, 2, 1))[:, i, j]
                 p, q = m[:, i], m[:, j]
                 for one, two in ((p, q), (q, p)):
-                    g = s > kth[one] + 1e-4
+                    g = s > kth[one] + 1e-6
                     out.append((one[g], two[g], s[g]))
         r, c, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        code = r * len(base) + place[c]
-        at = np.searchsorted(had, code)
-        new = (had[np.minimum(at, max(0, len(had) - 1))] != code) if len(had) else np.ones(len(code), bool)
+        _, first = np.unique(r * len(ids) + c, return_index=True)
+        r, c, s = r[first], c[first], s[first]
+        # those that the list has already
+        known = table.column("known").combine_chunks()
+        listed = np.flatnonzero(np.bincount(r, minlength=len(ids)))  # rows that got anything
+        k_len = known.value_lengths().to_numpy().astype(np.int64)
+        k_at = np.cumsum(k_len) - k_len
+        k_id = known.flatten().to_numpy()[spread(k_at[listed], k_len[listed])]
+        sorted_ids = np.argsort(ids)
+        at = np.minimum(np.searchsorted(ids[sorted_ids], k_id), len(ids) - 1)
+        here = sorted_ids[at] if len(ids) else at
+        code = np.repeat(listed, k_len[listed]) * len(ids) + here
+        new = ~np.isin(r * len(ids) + c, code[ids[here] == k_id])
         r, c, s = r[new], c[new], s[new]
         keep = best_of(r, c, s, k)
         r, c, s = r[keep], c[keep], s[keep]
-        own, at = np.unique(r, return_inverse=True)
-        return _lists(ids[own], home[own], at, c, s, ids[c], home[c])
+        return pa.table([ids[r], ids[c], s.astype(np.float32), home[c]], names=["id", "nbr", "sim", "home"])
 
     return run
 
 
 def neighbour_graph(
-    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: int = 1, probes: int = 9, leaf_rows: int = 1000, block_leaves: int = 16, reverse: int = 10,
-    sample_rows: int = 16_384, settled: float = 0.001,
+    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: tuple[int, int] = (2, 30), probes: int = 8, leaf_rows: int = 1000, block_leaves: int = 16, reverse: int = 10,
+    hub_links: int = 64, sample_rows: int = 131_072, settled: float = 0.005, history: list | None = None,
 ) -> DataFrame:
     """(id, nbrs, sims): the k most similar other ids of every valid vector, most similar first, ties by id.
 
     Rows with null or negative id, or whose vector is null, not of ``dim`` numbers, not finite throughout or all zero,
-    take no part; rows of one id count as one. Rounds end early when less than the share ``settled`` of the entries
-    changes. Centroids are fitted on ``sample_rows`` vectors; every vector is indexed. Fewer than k others: a shorter list.
+    take no part; rows of one id count as one. Rounds go on until less than the share ``settled`` of the entries changes
+    (at least and at most ``rounds``; the most is far more than that takes); ``history`` receives that share of every round.
+    Centroids are fitted on ``sample_rows`` vectors at most, 16 a leaf; every vector is indexed. Fewer than k others: a
+    shorter list. Of more equally similar vectors than fit a list, those of lowest id among the ones met come.
     """
     vectors = rows.select(rows[id_col].cast("long").alias("id"), rows[vec_col].cast("array<float>").alias("vec"))
     vectors = vectors.where(valid(F.col("vec"), F.col("id"), dim) & ~F.exists("vec", lambda v: v.isNull()))
-    parts = max(shuffle_parts(rows.sparkSession), 1)
-    graph = first_graph(vectors, dim, k, leaf_rows, block_leaves, probes, sample_rows, parts)
-    for i in range(rounds):
-        better = descent_round(graph, dim, k, reverse, parts, last=i == rounds - 1)
-        if i < rounds - 1:
-            was, now = (g.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, v: a + v))).first()[0] or 0.0 for g in (graph, better))
-            graph = better
-            if now - was < settled * abs(was):
-                break
+    n = vectors.count()
+    parts = shuffle_parts(rows.sparkSession, 2 * n)
+    first = first_graph(vectors, n, dim, k, leaf_rows, block_leaves, probes, sample_rows, parts)
+    graph, packed = first.drop("vec"), first.select("id", "vec")
+    for turn in range(rounds[1]):
+        better = descent_round(graph, packed, dim, k, reverse, hub_links, parts, turn)
+        if turn:
+            drop(graph)
         graph = better
+        fresh, entries = graph.agg(F.sum("fresh"), F.sum(F.size("nbrs"))).first()
+        if history is not None:
+            history.append((fresh or 0) / max(1, entries or 0))
+        if turn + 1 >= rounds[0] and (fresh or 0) < settled * max(1, entries or 0):
+            break
+    if rounds[1]:
+        drop(first)
     return graph.select("id", "nbrs", "sims")
 
 
+def similar_pairs(graph: DataFrame, rows: DataFrame, id_col: str, vec_col: str, least: float, dim: int = 64) -> DataFrame:
+    """(a, b), a < b, of the graph's entries with a similarity of at least ``least``, each pair once.
+
+    The graph compares vectors in 16-bit fixed point, which moves a cosine by about 1e-5. Pairs within BORDER of the bound are
+    few; they are decided on the stored numbers, in double precision. They are written first, so that their size decides the joins.
+    """
+    e = graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= least - BORDER)
+    e = cut(e.groupBy(F.least("id", "e.nbrs").alias("a"), F.greatest("id", "e.nbrs").alias("b")).agg(F.max("e.sims").alias("s")))
+    sure, near = e.where(F.col("s") >= least + BORDER).select("a", "b"), cut(e.where(F.col("s") < least + BORDER).select("a", "b"))
+    good = rows.where(valid(F.col(vec_col), F.col(id_col), dim)).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
+    good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    met = cut(near.join(good.withColumnsRenamed({"i": "a", "v": "x"}), "a")).join(good.withColumnsRenamed({"i": "b", "v": "y"}), "b")
+    met = met.where(total("x", "y") / (F.sqrt(total("x", "x")) * F.sqrt(total("y", "y"))) >= least)
+    return sure.unionAll(met.select("a", "b").distinct())
+
+
 # -- queries ----------------------------------------------------------------------------------------------------------
 def greedy_search(
-    graph: DataFrame, rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, beam: int = 48, expand: int = 8, steps: int = 12, entries: int = 128
+    graph: DataFrame, rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, beam: int = 48, expand: int = 16, entries: int = 8, probes: int = 4,
+    leaf_rows: int = 1000, sample_rows: int = 131_072,
 ) -> DataFrame:
     """(id, nbrs, sims): for every valid query vector the k most similar ids of the graph, itself left out.
 
     Greedy search: a query holds the ``beam`` best nodes it has seen; in each step the ``expand`` best that were not yet
-    followed are, by joins with the graph and with the vectors, until none is left or after ``steps``. It begins at
-    ``entries`` nodes, those of lowest hash, a bounded and documented sample which is broadcast.
+    followed are, by joins with the graph's links (k nodes that list a node at most, by hash, besides those it lists) and with the
+    vectors, until none of them is left. It begins at ``entries`` nodes, those of lowest hash, of each of the ``probes``
+    leaves nearest to it, so a crowd that few links lead to is reached as well. Centroids are fitted on ``sample_rows`` vectors at
+    most; a leaf's entries come from all rows.
     """
-    spark = rows.sparkSession
     pick = lambda df: df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<float>").alias("vec")).where(
         valid(F.col("vec"), F.col("id"), dim) & ~F.exists("vec", lambda v: v.isNull())
     )
     unit = lambda df: df.mapInArrow(_packer(dim), "id long, vec binary").dropDuplicates(["id"])
-    vectors = cut(unit(pick(rows)))
-    asked = cut(unit(pick(queries)).withColumnsRenamed({"id": "q", "vec": "q_vec"}))
-    out_links = cut(graph.select("id", "nbrs"))
-    start = vectors.orderBy(F.xxhash64("id"), "id").limit(entries).collect()
-    first = F.broadcast(spark.createDataFrame([(r["id"], r["vec"]) for r in start], "id long, vec binary"))
-    state = cut(asked.join(first).groupBy("q").agg(F.first("q_vec").alias("q_vec"), F.collect_list(F.struct("id", "vec")).alias("new")).mapInArrow(_beam(dim, beam), BEAM))
-    for _ in range(steps):
-        todo = state.select("q", F.explode(F.slice(F.filter("beam", lambda b: ~b["done"]), 1, expand)).alias("b")).select("q", F.col("b.id").alias("id"))
+    vectors, asked = cut(unit(pick(rows))), cut(unit(pick(queries)))
+    n = vectors.count()
+    leaves = fit_leaves(sample_vectors(pick(rows), dim, min(sample_rows, 16 * (n // leaf_rows + 1))), max(1, round(n / leaf_rows)))
+    listed = graph.select("id", F.explode("nbrs").alias("to"))
+    some = Window.partitionBy("id").orderBy(F.pmod(F.hash("id", "to"), F.lit(4096)), "to")
+    listing = listed.select(F.col("to").alias("id"), F.col("id").alias("to")).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k).drop("_n")
+    links = cut(listed.unionAll(listing).distinct())
+    near = lambda df, p: df.mapInArrow(_nearest_leaves(leaves, p, dim), "id long, leaf int")
+    first = near(vectors, 1).withColumn("_n", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("id"), "id"))).where(F.col("_n") <= entries)
+    start = near(asked, probes).withColumnRenamed("id", "q").join(first.select("leaf", "id"), "leaf").select("q", "id").distinct()
+    asked = asked.withColumnsRenamed({"id": "q", "vec": "q_vec"})
+    meet = lambda pairs: pairs.join(vectors, "id").groupBy("q").agg(F.collect_list(F.struct("id", "vec")).alias("new"))  # noqa: E731 - bounded by the parameters
+    state = cut(asked.join(meet(start), "q").select("q", "q_vec", "new").mapInArrow(_beam(dim, beam), BEAM))
+    open_nodes = F.slice(F.filter("beam", lambda b: ~b["done"]), 1, expand)
+    while True:
+        todo = cut(state.select("q", F.explode(F.transform(open_nodes, lambda b: b["id"])).alias("id")))
         if todo.isEmpty():
             break
-        reached = todo.join(out_links, "id").select("q", F.explode("nbrs").alias("id")).distinct()
-        met = reached.join(vectors, "id").groupBy("q").agg(F.collect_list(F.struct("id", "vec")).alias("new"))  # expand * k at most
-        followed = state.withColumn("beam", F.expr(f"transform(beam, b -> named_struct('id', b.id, 'sim', b.sim, 'done', b.done or array_contains(transform(slice(filter(beam, c -> not c.done), 1, {expand}), d -> d.id), b.id)))"))
-        state = cut(followed.join(met, "q", "left").select("q", "q_vec", "new", "beam").mapInArrow(_beam(dim, beam), BEAM))
+        reached = meet(todo.join(links, "id").select("q", F.col("to").alias("id")).distinct())
+        followed = state.withColumn("_f", F.transform(open_nodes, lambda b: b["id"]))
+        marked = F.transform("beam", lambda b: F.struct(b["id"].alias("id"), b["sim"].alias("sim"), (b["done"] | F.array_contains("_f", b["id"])).alias("done")))
+        after = cut(followed.withColumn("beam", marked).join(reached, "q", "left").select("q", "q_vec", "new", "beam").mapInArrow(_beam(dim, beam), BEAM))
+        drop(state)
+        drop(todo)
+        state = after
     best = F.slice(F.filter("beam", lambda b: b["id"] != F.col("q")), 1, k)
     return state.select(F.col("q").alias("id"), F.transform(best, lambda b: b["id"]).alias("nbrs"), F.transform(best, lambda b: b["sim"]).alias("sims"))
 
 
+def _nearest_leaves(leaves: np.ndarray, probes: int, dim: int):
+    def run(batches):
+        import pyarrow as pa
+
+        p = min(probes, len(leaves))
+        for batch in batches:
+            if batch.num_rows:
+                s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dim) @ leaves.T
+                top = np.argpartition(-s, p - 1, axis=1)[:, :p]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(top)), p))), pa.array(top.ravel().astype(np.int32))], ["id", "leaf"])
+
+    return run
+
+
 BEAM = "q long, q_vec binary, beam array<struct<id: long, sim: float, done: boolean>>"
 
 

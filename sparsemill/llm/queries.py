@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import table
+from ._work import cut, table
 from .bpe import encode_corpus
 from .cooccur import pair_counts, surprise
-from .knn_graph import greedy_search, neighbour_graph
+from .knn_graph import greedy_search, neighbour_graph, similar_pairs
 from .leakage import find_leaks
 from .quota_sample import quota_sample, target_report
-from .set_pairs import similar_records
+from .set_pairs import record_links, similar_records
 from .split import split_oversized
 from .stable_sample import poisson_sample, running_weights
 from .terms import mark_terms, term_frequencies
@@ -30,6 +30,12 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked_genes(spark, sf_dir).select("gene_id", "sum", "detected", "n", F.array_join("marks", ",").alias("marks"))
 
 
+def p1_recursed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_terms with a limit so low that partitions are parted again, hot terms by record."""
+    freq, n = term_frequencies(table(spark, sf_dir, "expr"), limit_rows=10_000)
+    return mark_terms(freq, n, table(spark, sf_dir, "preprocess_options")).select("gene_id", "sum", "detected", "n", F.array_join("marks", ",").alias("marks"))
+
+
 _P1 = """
 with m as (
   select distinct gene_id, cell_id, lane, expr_value from expr
@@ -49,12 +55,23 @@ r as (
 SAMPLE_RATE = 0.1
 
 
+def _described() -> Column:
+    """The share of a row's descriptions that are filled in."""
+    filled = [F.length(F.btrim("stratum")) > 0, F.length(F.btrim("day_label")) > 0, F.col("embryo_id") >= 0, F.nanvl("developmental_time", F.lit(None)).isNotNull()]
+    return sum((F.coalesce(c, F.lit(False)).cast("double") for c in filled), F.lit(1.0)) / 5
+
+
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the fully described cells; a row's weight is the share of its descriptions that are filled in."""
+    return poisson_sample(running_weights(table(spark, sf_dir, "cells"), "stable_id", _described()), "stable_id", SAMPLE_RATE)
+
+
+def p2_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_sample by deliveries: the weights after the first one are written, read again, and go on with the later ones."""
     cells = table(spark, sf_dir, "cells")
-    filled = [F.length(F.btrim("stratum")) > 0, F.length(F.btrim("day_label")) > 0, F.col("embryo_id") >= 0, F.nanvl("developmental_time", F.lit(None)).isNotNull()]
-    weight = sum((F.coalesce(c, F.lit(False)).cast("double") for c in filled), F.lit(1.0)) / 5
-    return poisson_sample(running_weights(cells, "stable_id", weight), "stable_id", SAMPLE_RATE)
+    early = F.coalesce(F.col("delivery_no") <= 1, F.lit(True))
+    state = cut(running_weights(cells.where(early), "stable_id", _described()))
+    return poisson_sample(running_weights(cells.where(~early), "stable_id", _described(), state), "stable_id", SAMPLE_RATE)
 
 
 _P2 = f"""
@@ -72,8 +89,8 @@ def _cell_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _cell_graph(spark, sf_dir).select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where("e.sims >= 0.9")
-    return edges.select(F.least("id", "e.nbrs").alias("cell_a"), F.greatest("id", "e.nbrs").alias("cell_b")).distinct()
+    pairs = similar_pairs(_cell_graph(spark, sf_dir), table(spark, sf_dir, "neighbor_index"), "cell_index", "latent", least=0.9)
+    return pairs.select(F.col("a").alias("cell_a"), F.col("b").alias("cell_b"))
 
 
 # brute force over all pairs of vectors: for tables of some thousand cells
@@ -114,6 +131,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("gene_a", "gene_b")
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per gene its class of equal sets, the size of that, and the number of genes it is similar to."""
+    return record_links(table(spark, sf_dir, "support"), "gene_id", "cell_id", numerator=3, denominator=5).withColumnsRenamed({"k": "gene_id", "s": "class_id"})
+
+
 _P4 = """
 with s as (select distinct gene_id as g, cell_id as c from support where gene_id is not null and cell_id >= 0),
 n as (select g, count(*) as k from s group by 1),
@@ -129,7 +151,8 @@ def _gene_pairs(spark: SparkSession, sf_dir: str, min_count: int = 8, min_ratio:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gene_pairs(spark, sf_dir)[0].select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"))
+    """The pairs of genes that occur together 8 times and three times as often as expected, of all that are scored."""
+    return p5_surprise(spark, sf_dir).where("n_ab >= 8 and n_ab * n >= 3 * n_a * n_b").select("gene_a", "gene_b")
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +184,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_report(spark, sf_dir).where("not met").select("dataset_id", "stratum")
 
 
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_sample with quotas that end on the request exactly where categories must give up rows."""
+    return quota_sample(table(spark, sf_dir, "cells"), table(spark, sf_dir, "sample_targets"), fill=True)
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample(table(spark, sf_dir, "cells"), table(spark, sf_dir, "sample_targets"))
 
@@ -200,14 +228,18 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_sample, p3_found, p3_neighbors, p3_search, p4_found, p4_pairs, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_recursed, p2_sample, p2_grown, p3_found, p3_neighbors, p3_search, p4_found, p4_pairs, p4_links, p5_found, p5_counts, p5_surprise, p6_report, p6_found, p6_sample, p6_filled, p7_ids, p8_found, p8_leaks, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select gene_id, 'rare' as mark from r where rare union all select gene_id, 'common' from r where common",
-    "p1_terms": _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r""",
+    **dict.fromkeys(("p1_terms", "p1_recursed"), _P1 + """select gene_id, "sum", detected, n, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from r"""),
     "p2_sample": _P2,
+    "p2_grown": _P2,
     "p3_found": _P3,
     "p4_found": _P4 + "select gene_a, gene_b from o",
     "p4_pairs": _P4 + "select * from o",
+    "p4_links": _P4 + """, e as (select g, list(c order by c) as x from s group by 1), m as (select g, min(g) over (partition by x) as class_id, count(*) over (partition by x) as members from e),
+      l as (select g, count(*) as links from (select gene_a as g from o union all select gene_b from o) group by 1)
+      select m.g as gene_id, class_id, members, coalesce(links, 0) as links from m left join l on l.g = m.g""",
     "p5_found": _P5 + "select gene_a, gene_b from o",
     "p5_counts": _P5 + "select * from o",
     "p6_report": _P6 + """select dataset_id, stratum, target_share, min_rows, requested_rows, available, needed, quota,
@@ -218,4 +250,14 @@ ORACLES: dict[str, str] = {
       select dataset_id, stratum, cell_id, unit_hash from (
         select k.*, quota, row_number() over (partition by dataset_id, stratum order by unit_hash, cell_id) as i from k join r using (dataset_id, stratum))
       where i <= quota""",
+    "p6_filled": _P6 + """, s as (
+      select *, least(greatest(-free, 0), spare) as over, (base - low) * least(greatest(-free, 0), spare)::double / greatest(spare, 1) as part from r),
+      t as (select *, over - sum(floor(part)) over (partition by dataset_id) as rest_rows, row_number() over (partition by dataset_id order by part - floor(part) desc, stratum) as last from s),
+      q as (
+        select dataset_id, stratum, (base + (case when rest > 0 and rank <= free then 1 else 0 end) - floor(part) - (case when last <= rest_rows then 1 else 0 end))::bigint as quota from t),
+      k as (
+      select *, ('0x' || substr(md5(cell_id::varchar), 1, 13))::bigint::double / 4503599627370496.0::double as unit_hash from a)
+      select dataset_id, stratum, cell_id, unit_hash from (
+        select k.*, quota, row_number() over (partition by dataset_id, stratum order by unit_hash, cell_id) as i from k join q using (dataset_id, stratum))
+      where i <= quota""",
 }
