@@ -68,7 +68,7 @@ def with_id_hash(df: DataFrame, out: str, col: str, seed: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_id_hashes(batch.column(at), seed), pa.int64())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_hashes(batch.column(at), seed)], [*batch.schema.names, out])
 
     return df.mapInArrow(run, f"{fields}, `{out}` long")
 
@@ -82,19 +82,20 @@ def mix_array(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _id_hashes(column, seed: int) -> list[int | None]:
-    texts = [None if t is None else t.encode() for t in column.to_pylist()]
-    size = np.array([0 if t is None else len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(t or b"" for t in texts) + b"\0", np.uint8)
-    at = np.cumsum(size) - size
-    fold = np.full(len(texts), FNV_OFFSET, np.uint64)
+def _id_hashes(column: pa.Array, seed: int) -> pa.Array:
+    text = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, np.int64, len(text) + 1, 8 * text.offset)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at, size = at[:-1], np.diff(at)
+    fold = np.full(len(text), FNV_OFFSET, np.uint64)
+    order = np.argsort(-size, kind="stable")  # those that have an i-th byte come first
     for i in range(int(size.max(initial=0))):
-        rows = np.flatnonzero(size > i)
+        rows = order[: np.searchsorted(-size[order], -i)]
         with np.errstate(over="ignore"):
             fold[rows] = (fold[rows] ^ raw[at[rows] + i]) * np.uint64(FNV_PRIME)
     fold ^= mix_array(size.astype(np.uint64) ^ np.uint64(CELL_DOMAIN))
-    h = mix_array(fold ^ np.uint64(splitmix(seed ^ CELL_DOMAIN))).view(np.int64)
-    return [None if t is None else int(x) for t, x in zip(texts, h)]
+    return pa.array(mix_array(fold ^ np.uint64(splitmix(seed ^ CELL_DOMAIN))).view(np.int64), mask=np.asarray(column.is_null()))
 
 
 def unsigned_order(c: Column) -> Column:

@@ -12,10 +12,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir; where that is unset (tests) in a local folder."""
+    """df behind a reliable checkpoint in spark.checkpoint.dir. Where that is unset a local session takes a temporary folder; on
+    a cluster that is an error, since no other machine could read it."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or "file://" + os.path.join(tempfile.gettempdir(), f"sparsemill-{os.getuid()}"))
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")

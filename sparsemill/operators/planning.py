@@ -12,14 +12,14 @@ MOST_RELATIONS = 5_000_000
 FEATURES = ["rows", "nnz", "bytes", "tiles", "tile_blocks", "entries", "block_width", "index_bytes", "alignment", "transactions"]
 
 
-def greedy_blocks(relations: DataFrame, features: DataFrame, width: int, gene: str = "gene_id") -> DataFrame:
+def greedy_blocks(relations: DataFrame, features: DataFrame, width: int, gene: str = "gene_id", most_relations: int = MOST_RELATIONS) -> DataFrame:
     """(gene, block, local): features merged along relations (gene_a, gene_b, gain) of positive gain, best first, up to ``width``.
 
-    Each merge depends on those before it, so one task does them; more than MOST_RELATIONS is an error. Features without
+    Each merge depends on those before it, so one task does them; more than ``most_relations`` is an error. Features without
     relations stay alone, and a block is named by its least feature.
     """
-    if relations.count() > MOST_RELATIONS:
-        raise ValueError(f"more than {MOST_RELATIONS} relations")
+    if relations.count() > most_relations:
+        raise ValueError(f"more than {most_relations} relations")
 
     def merge(batches):
         import pyarrow as pa
@@ -86,6 +86,50 @@ def predict_cost(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.exp((x - model["mean"]) / model["std"] @ model["w"])
 
 
+def shape_columns() -> list[Column]:
+    """The same thirteen features as columns of a table with the shapes."""
+    log = {k: F.log1p(F.col(k).cast("double")) for k in FEATURES}
+    ratios = [F.col("tile_blocks") / F.col("tiles"), F.col("entries") / F.col("tile_blocks")]
+    return [F.lit(1.0), *(log[k] for k in FEATURES[:7]), *ratios, *(log[k] for k in FEATURES[7:])]
+
+
+def fit_cost_table(observations: DataFrame, seconds: str, ridge: float = 1e-3) -> dict[str, np.ndarray]:
+    """``fit_cost`` over a table of shapes and times of any size: one aggregation gives the sums of the normal equations."""
+    x = shape_columns()
+    names = [f"x{i}" for i in range(len(x))]
+    t = observations.where(F.col(seconds) > 0).select(*(c.alias(n) for c, n in zip(x, names)), F.log(seconds).alias("y"))
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = t.agg(F.count("*"), F.sum("y"), *(F.sum(n) for n in names), *(F.sum(F.col(n) * F.col("y")) for n in names), *(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs)).first()
+    n, k = row[0], len(x)
+    if not n:
+        raise ValueError("there are no observations")
+    total, by_y, square = np.array(row[2 : 2 + k]), np.array(row[2 + k : 2 + 2 * k]), np.zeros((k, k))
+    for (i, j), v in zip(pairs, row[2 + 2 * k :]):
+        square[i, j] = square[j, i] = v
+    mean = total / n
+    std = np.sqrt(np.maximum(np.diag(square) / n - mean**2, 0.0))
+    mean[0], std = 0.0, np.where(std > 1e-6, std, 1.0)
+    z = (square - np.outer(mean, total) - np.outer(total, mean) + n * np.outer(mean, mean)) / np.outer(std, std)
+    penalty = ridge * np.eye(k)
+    penalty[0, 0] = 0.0
+    return {"mean": mean, "std": std, "w": np.linalg.solve(z + penalty, (by_y - mean * row[1]) / std)}
+
+
+def predicted_cost(model: dict[str, np.ndarray]) -> Column:
+    """The model's time of a row of shapes, as an expression."""
+    terms = [(c - float(m)) * float(w / s) for c, m, s, w in zip(shape_columns(), model["mean"], model["std"], model["w"])]
+    return F.exp(sum(terms[1:], terms[0]))
+
+
+def select_plan(candidates: DataFrame, by: list[str], byte_weight: float) -> DataFrame:
+    """Per group the candidate of least byte_weight * bytes + nanoseconds, the one of lowest id on ties; those without a finite
+    cost are left out."""
+    cost = F.lit(float(byte_weight)) * F.col("bytes") + F.col("nanoseconds")
+    c = candidates.withColumn("cost", cost).where(F.col("cost").isNotNull() & ~F.isnan("cost") & (F.col("cost") < float("inf")))
+    first = F.min(F.struct("cost", "id")).alias("b")
+    return c.groupBy(*by).agg(first).select(*by, F.col("b.id").alias("id"), F.col("b.cost").alias("cost"))
+
+
 def mape(predicted: np.ndarray, measured: np.ndarray) -> float:
     return float(np.mean(np.abs(predicted - measured) / measured))
 
@@ -147,14 +191,17 @@ def support_lists(entries: DataFrame, plan: DataFrame, row: str = "cell_id", col
 
 
 def arrow_batches(df: DataFrame, rows: int = 10_000):
-    """Arrow tables of about ``rows`` rows each, one partition at a time on the driver: what a tensor library reads."""
+    """Arrow tables of at most ``rows`` rows: what a tensor library reads. One partition at a time is on the driver, as the
+    bytes of its batches; no row becomes a Python object."""
     import pyarrow as pa
 
-    held = []
-    for r in df.toLocalIterator():
-        held.append(r.asDict())
-        if len(held) == rows:
-            yield pa.Table.from_pylist(held)
-            held = []
-    if held:
-        yield pa.Table.from_pylist(held)
+    def packed(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b.slice(i, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for r in df.mapInArrow(packed, "batch binary").toLocalIterator():
+        yield pa.ipc.open_stream(r["batch"]).read_all()

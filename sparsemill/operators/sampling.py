@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.hashing import signed, splitmix, unsigned_decimal, unsigned_order, with_row_hash, with_splitmix
 
 MOST_EXACT = 65_536
@@ -40,62 +41,60 @@ def lowest_hashes(rows: DataFrame, row: str, seed: int, n: int, stable_id: str |
     return top.withColumn("position", F.row_number().over(Window.orderBy(row)) - 1)
 
 
-def density_boundaries(counts: list[tuple[int, int]], strata: int) -> list[int]:
-    """Upper ends of density strata of near equal size from (nnz, rows) by nnz; equal nnz never split, the lower cut wins ties."""
-    values, total = [v for v, _ in counts], np.cumsum([c for _, c in counts]).tolist()
-    strata, out, last = min(strata, len(values)), [], -1
-    for cut in range(1, strata):
-        low, high = last + 1, len(values) - (strata - cut) - 1
-        target = cut * total[-1]
-        at = next((i for i in range(low, high + 1) if total[i] * strata >= target), high)
-        if at > low and abs(target - total[at - 1] * strata) <= abs(target - total[at] * strata):
-            at -= 1
-        out.append(values[at])
-        last = at
-    return [*out, values[-1]]
-
-
-def density_allocation(sizes: list[int], rows: int) -> list[int]:
-    """Rows a stratum: one each, the rest in proportion to size - 1 by largest remainder, ties by stratum."""
-    out, rest, room = [1] * len(sizes), rows - len(sizes), sum(sizes) - len(sizes)
-    if rest <= 0 or room <= 0:
-        return out
-    parts = [divmod(rest * (s - 1), room) for s in sizes]
-    out = [o + p[0] for o, p in zip(out, parts)]
-    left = rest - sum(p[0] for p in parts)
-    for i in sorted(range(len(sizes)), key=lambda i: (-parts[i][1], i)):
-        if not left:
-            break
-        if out[i] < sizes[i]:
-            out[i], left = out[i] + 1, left - 1
-    return out
+def density_strata(rows: DataFrame, nnz: str, strata: int) -> DataFrame:
+    """(nnz, n, stratum): every distinct nnz with its rows and its density stratum, strata as equal in rows as can be.
+
+    Cut i lies between two distinct values, where the rows below it come closest to i shares of all, the lower place on
+    ties; every stratum keeps one value at least. The table has as many rows as there are distinct nnz, never as many as
+    ``rows``, so its windows are small.
+    """
+    by = rows.groupBy(F.col(nnz).alias("nnz")).agg(F.count("*").alias("n"))
+    upto = Window.orderBy("nnz")
+    all_ = Window.partitionBy()
+    v = by.withColumns({"below": F.sum("n").over(upto), "place": F.row_number().over(upto), "total": F.sum("n").over(all_), "values": F.count("*").over(all_)})
+    v = v.withColumn("of", F.least(F.lit(strata), "values"))
+    # the nearest place of every cut, as if it were alone
+    cuts = v.withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(max(1, strata - 1))))).where(F.col("cut") < F.col("of"))
+    off = F.abs(F.col("below") * F.col("of") - F.col("cut") * F.col("total"))
+    nearest = cuts.groupBy("cut", "of", "values").agg(F.min(F.struct(off, "place"))["place"].alias("at"))
+    # a cut leaves a value to every stratum on either side of it: at least one more than the one before, and room for those after
+    pushed = F.max(F.col("at") - F.col("cut")).over(Window.orderBy("cut"))
+    ends = nearest.withColumn("end", F.least(F.greatest(pushed, F.lit(0)) + F.col("cut"), F.col("values") - F.col("of") + F.col("cut")))
+    passed = F.aggregate(F.col("ends"), F.lit(0), lambda k, e: k + (F.col("place") > e).cast("int"))
+    held = ends.agg(F.collect_list("end").alias("ends"))  # one row of at most ``strata`` numbers
+    return v.join(F.broadcast(held)).select("nnz", "n", passed.alias("stratum"))
+
+
+def density_allocation(strata: DataFrame, rows: int) -> DataFrame:
+    """(stratum, size, sampled) from ``density_strata``: one row of every stratum, the rest in proportion to its other rows, by
+    largest remainder, ties by stratum; never more than it has."""
+    s = strata.groupBy("stratum").agg(F.sum("n").alias("size"), F.max("nnz").alias("upper"))
+    all_ = Window.partitionBy()
+    s = s.withColumns({"_k": F.count("*").over(all_), "_room": F.sum("size").over(all_) - F.count("*").over(all_)})
+    rest = F.greatest(F.lit(rows) - F.col("_k"), F.lit(0))
+    s = s.withColumn("_share", rest * (F.col("size") - 1)).withColumn("_whole", F.floor(F.col("_share") / F.greatest("_room", F.lit(1))))
+    s = s.withColumn("_left", rest - F.sum("_whole").over(all_)).withColumn("_part", F.col("_share") - F.col("_whole") * F.greatest("_room", F.lit(1)))
+    more = (F.row_number().over(Window.orderBy(F.desc("_part"), "stratum")) <= F.col("_left")).cast("long")
+    return s.select("stratum", "upper", "size", F.least(1 + F.col("_whole") + more, "size").alias("sampled"))
 
 
 def density_sample(rows: DataFrame, row: str, nnz: str, seed: int, strata: int, n: int) -> DataFrame:
     """(row, nnz, stratum, hash, weight): the lowest hashes of every density stratum; weight = rows of it / sampled ones.
 
-    The driver gets (nnz, rows) by distinct nnz: as many pairs as a row can have entries, never as many as rows.
+    The quotas come to the driver, ``strata`` numbers, to bound what a task keeps of a stratum.
     """
-    counts = [(r[0], r[1]) for r in rows.groupBy(nnz).count().orderBy(nnz).collect()]
-    if not counts:
+    if rows.isEmpty():
         raise ValueError("density sampling needs rows")
-    if not 0 < n <= sum(c for _, c in counts):
+    of = cut(density_strata(rows, nnz, strata))
+    quota = density_allocation(of, n)
+    got = quota.agg(F.sum("size"), F.max("sampled")).first()
+    if not 0 < n <= got[0]:
         raise ValueError(f"{n} rows cannot be drawn")
-    ends = density_boundaries(counts, strata)
-    sizes, at = [0] * len(ends), 0
-    for v, c in counts:
-        while v > ends[at]:
-            at += 1
-        sizes[at] += c
-    quota = density_allocation(sizes, n)
-    stratum = F.lit(0)
-    for i, end in enumerate(ends[:-1]):
-        stratum = F.when(F.col(nnz) > end, i + 1).otherwise(stratum)
-    out = with_row_hash(rows.withColumn("stratum", stratum), "hash", F.col(row), seed)
+    placed = rows.join(of.select(F.col("nnz").alias(nnz), "stratum"), nnz)
+    out = with_row_hash(placed, "hash", F.col(row), seed)
     w = Window.partitionBy("stratum").orderBy(unsigned_order(F.col("hash")), row)
-    out = out.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= max(quota))
-    pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("stratum") + 1)
-    return out.where(F.col("_i") <= pick(quota)).withColumn("weight", pick([s / q for s, q in zip(sizes, quota)])).drop("_i")
+    out = out.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= got[1])
+    return out.join(F.broadcast(quota), "stratum").where("_i <= sampled").withColumn("weight", F.col("size") / F.col("sampled")).drop("_i", "size", "sampled", "upper")
 
 
 def same_sample(first: DataFrame, again: DataFrame) -> bool:
@@ -147,10 +146,14 @@ def bootstrap(rows: DataFrame, unit: str, seed: int, replicate: int) -> DataFram
 
 
 def minibatches(rows: DataFrame, row: str, bucket, seed: int, per_bucket: int, epoch: int = 0) -> DataFrame:
-    """rows with ``bucket`` and ``batch``: inside each bucket, hash order in runs of ``per_bucket``; another order every epoch."""
-    h = with_row_hash(rows.withColumn("bucket", bucket), "_h", F.col(row), seed ^ (epoch << 32))
-    i = F.row_number().over(Window.partitionBy("bucket").orderBy(unsigned_order(F.col("_h")), row)) - 1
-    return h.withColumn("batch", F.floor(i / per_bucket)).drop("_h")
+    """rows with ``bucket`` and ``batch``: inside each bucket, hash order in runs of ``per_bucket``; another order every epoch.
+
+    Places come from range partitions, less the first place of the bucket, so no task holds a whole bucket.
+    """
+    from .sparse import ranked_within
+
+    h = with_row_hash(rows.withColumn("bucket", bucket), "_h", F.col(row), seed ^ (epoch << 32)).withColumn("_h", unsigned_order(F.col("_h")))
+    return ranked_within(h, "bucket", [F.col("_h")], "_i", row).withColumn("batch", F.floor(F.col("_i") / per_bucket)).drop("_h", "_i")
 
 
 def batch_with_replacement(rows: DataFrame, row: str, seed: int, draws: int) -> DataFrame:
@@ -168,34 +171,40 @@ def unit_position(h) -> "F.Column":
     return unsigned_decimal(h).cast("double") / float(1 << 64)
 
 
-def degree_preserving_null(edges: DataFrame, left: str, right: str, seed: int, swaps_per_edge: int = 4, most_edges: int = 2_000_000) -> DataFrame:
-    """A random bipartite graph of the same degrees by double-edge swaps that make no edge twice.
+def degree_preserving_null(edges: DataFrame, left: str, right: str, seed: int, rounds: int = 4, block_edges: int = 100_000) -> DataFrame:
+    """A random bipartite graph of the same degrees by double-edge swaps that make no edge twice; null ends take no part.
 
-    Swaps depend on one another, so one task does them; ``most_edges`` bounds it, and a larger graph is an error.
+    In every round both kinds of nodes fall into groups by hash, anew each time, and the edges between two groups are one
+    block. A swap of two edges of a block gives edges of that block, so whether one exists already is known within it, and
+    blocks are independent of one another. There are as many groups as keep a block at about ``block_edges``, also where a node
+    has very many edges, since those are spread over the groups of the other side. A round tries as many swaps as there
+    are edges.
     """
-    if edges.count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
     kinds = f"{left} {edges.schema[left].dataType.simpleString()}, {right} {edges.schema[right].dataType.simpleString()}"
 
-    def swap(batches):
-        import pyarrow as pa
-
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        a, b = t.column(0).to_numpy(), t.column(1).to_numpy().copy()
-        order = np.lexsort((b, a))
-        a, b = a[order].tolist(), b[order].tolist()
-        have, rng = set(zip(a, b)), np.random.default_rng(seed)
-        picks = rng.integers(0, len(a), (len(a) * swaps_per_edge, 2)).tolist()
-        for i, j in picks:
-            one, two = (a[i], b[j]), (a[j], b[i])
-            if a[i] == a[j] or b[i] == b[j] or one in have or two in have:
-                continue
-            have -= {(a[i], b[i]), (a[j], b[j])}
-            have |= {one, two}
-            b[i], b[j] = b[j], b[i]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], [left, right])
-
-    return edges.select(left, right).distinct().coalesce(1).mapInArrow(swap, kinds)
+    def swap_in(turn: int):
+        def run(key, table):
+            import pyarrow as pa
+
+            rng = np.random.default_rng([seed & (2**63 - 1), turn, *(k.as_py() for k in key)])
+            a, b = table.column(left).to_numpy(), table.column(right).to_numpy()
+            order = np.lexsort((b, a))
+            a, b = a[order].tolist(), b[order].tolist()
+            have = set(zip(a, b))
+            for i, j in rng.integers(0, len(a), (len(a), 2)).tolist():
+                one, two = (a[i], b[j]), (a[j], b[i])
+                if one in have or two in have:  # so it is too where both edges share an end
+                    continue
+                have.difference_update(((a[i], b[i]), (a[j], b[j])))
+                have.update((one, two))
+                b[i], b[j] = b[j], b[i]
+            return pa.table([pa.array(a), pa.array(b)], names=[left, right])
+
+        return run
+
+    state = cut(edges.select(left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct())
+    groups = max(1, int(np.ceil(np.sqrt(state.count() / block_edges))))
+    for turn in range(rounds):
+        group = lambda c: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(turn)), F.lit(groups)).alias(f"_{c}")  # noqa: B023, E731
+        state = cut(state.select(left, right, group(left), group(right)).groupBy(f"_{left}", f"_{right}").applyInArrow(swap_in(turn), kinds))
+    return state

@@ -112,6 +112,14 @@ def ranked(df: DataFrame, order: list, out: str, key: str) -> DataFrame:
     return rows.withColumn("_rank_p", part).join(F.broadcast(before), "_rank_p").withColumn(out, F.col("_rank_before") + place).drop("_rank_p", "_rank_m", "_rank_before")
 
 
+def ranked_within(df: DataFrame, group: str, order: list, out: str, key: str) -> DataFrame:
+    """df with ``out``, the place (from 0) of each row within its group: global places, less the first one of the group, so that
+    a group may hold any share of the rows. As many groups as there are come together in one small table by key."""
+    rows = ranked(df, [F.col(group), *order], "_place", key)
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(out, F.col("_place") - F.col("_first")).drop("_group", "_first", "_place")
+
+
 def nnz_buckets(rows: DataFrame, n_rows: int, buckets: int, row: str = "cell_id", nnz: str = "nnz") -> DataFrame:
     """Rows by (nnz, row) in buckets of equal count: bucket b holds places floor(b n / B) to floor((b + 1) n / B)."""
     out = ranked(rows, [F.col(nnz)], "place", row)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import future_pairs, scored
+from .neighbors import future_top_k
+from .sparse import ranked_within
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,8 @@ class Config:
 
 
 def ordered(records: DataFrame) -> DataFrame:
-    """records with their place ``pos`` inside their embryo, by (time, cell)."""
-    return records.withColumn("pos", F.row_number().over(Window.partitionBy("embryo").orderBy("time", "cell")) - 1)
+    """records with their place ``pos`` inside their embryo, by (time, cell); places come from range partitions."""
+    return ranked_within(records, "embryo", [F.col("time")], "pos", "cell")
 
 
 def slabs(records: DataFrame, rows: int) -> DataFrame:
@@ -41,9 +42,16 @@ def spans(records: DataFrame) -> DataFrame:
 
 
 def assign_slabs(delta: DataFrame, slab_table: DataFrame, halo: float) -> DataFrame:
-    """delta records with the first slab of their embryo whose time range, widened by ``halo``, holds them; null if none."""
+    """delta records with the first slab of their embryo whose time range, widened by ``halo``, holds them; null if none.
+
+    Both sides meet in time buckets as wide as the mean slab with its halos, so a record meets the few slabs near it and not
+    all of its embryo; a slab is in as many buckets as it touches, three on average at most.
+    """
     s = slab_table.select("embryo", F.col("slab").alias("_s"), (F.col("begin") - halo).alias("_b"), (F.col("end") + halo).alias("_e"))
-    held = delta.join(s, "embryo").where((F.col("time") >= F.col("_b")) & (F.col("time") <= F.col("_e"))).groupBy("cell").agg(F.min("_s").alias("slab"))
+    width = max(s.agg(F.avg(F.col("_e") - F.col("_b"))).first()[0] or 0.0, 1e-9)
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    s = s.withColumn("_t", F.explode(F.sequence(at("_b"), at("_e"))))
+    held = delta.withColumn("_t", at("time")).join(s, ["embryo", "_t"]).where((F.col("time") >= F.col("_b")) & (F.col("time") <= F.col("_e"))).groupBy("cell").agg(F.min("_s").alias("slab"))
     return delta.join(held, "cell", "left")
 
 
@@ -53,12 +61,14 @@ def insert_plan(assigned: DataFrame) -> DataFrame:
 
 
 def candidates(records: DataFrame, c: Config) -> DataFrame:
-    """(src, dst, score, dt): for each record the k best of its future window; inner products of the vectors as they are."""
-    pairs = future_pairs(records, records, c.low, c.high)
-    pairs = scored(pairs.where("q_cell <> i_cell")).where(F.col("sim") >= c.min_similarity)
-    w = Window.partitionBy("q_cell").orderBy(F.desc("sim"), "i_time", "i_cell")
-    top = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= c.k)
-    return top.select(F.col("q_cell").alias("src"), F.col("i_cell").alias("dst"), F.col("sim").alias("score"), F.round(F.col("i_time") - F.col("q_time"), 6).alias("dt"))
+    """(src, dst, score, dt): for each record the k best of its future window; inner products of the vectors as they are.
+
+    Windows are scanned in blocks from which k rows a record come out; ties of the score go to the earlier, then the lower cell.
+    """
+    top = future_top_k(records, records, c.k, c.low, c.high, same_embryo=True, embryo_breaks_ties=False)
+    times = records.select(F.col("cell").alias("q_cell"), F.col("time").alias("_t"))
+    top = top.where(F.col("sim") >= c.min_similarity).join(times, "q_cell")
+    return top.select(F.col("q_cell").alias("src"), F.col("i_cell").alias("dst"), F.col("sim").alias("score"), F.round(F.col("i_time") - F.col("_t"), 6).alias("dt"))
 
 
 def prune(edges: DataFrame, c: Config) -> DataFrame:
@@ -97,8 +107,8 @@ def heads_by_jumping(links: DataFrame, node: str, up: str, cut, most_rounds: int
         moved = not after.where("_moved").isEmpty()
         state = after.drop("_moved")
         if not moved:
-            break
-    return state
+            return state
+    raise ValueError(f"chains are longer than 2^{most_rounds} links, or there is a cycle")
 
 
 def depths(tree: DataFrame, cut) -> DataFrame:
@@ -142,25 +152,22 @@ def branches(dag: DataFrame, c: Config) -> DataFrame:
     return m.where((F.col("second") >= c.branch_mass) & (F.col("second") >= c.branch_ratio * (F.col("first") + F.col("second"))))
 
 
-def paths(tree: DataFrame, wanted: DataFrame, cut, most_steps: int = 10_000) -> DataFrame:
-    """(start, node, step): the ancestors of the wanted nodes, from the node itself up to its root."""
-    front = cut(wanted.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("step")))
-    out, up = front, tree.where("parent is not null").select("node", "parent")
-    for step in range(1, most_steps):
-        front = cut(front.join(up, "node").select("start", F.col("parent").alias("node"), F.lit(step).alias("step")))
-        if front.isEmpty():
-            break
-        out = out.unionAll(front)
-    return out
-
-
-def subtree(tree: DataFrame, root: int, cut, most_steps: int = 10_000) -> DataFrame:
-    """(node, depth) of all descendants of a node, itself included."""
-    front = cut(tree.where(F.col("node") == root).select("node", F.lit(0).alias("depth")))
-    out = front
-    for depth in range(1, most_steps):
-        front = cut(tree.join(front.select(F.col("node").alias("parent")), "parent").select("node", F.lit(depth).alias("depth")))
-        if front.isEmpty():
-            break
-        out = out.unionAll(front)
-    return out
+def paths(tree: DataFrame, wanted: DataFrame, cut, most_rounds: int = 40) -> DataFrame:
+    """(start, node, step): the ancestors of the wanted nodes, from the node itself up to its root.
+
+    By doubling: what is known up to 2^r steps is taken 2^r steps further up at once, so a depth d takes log2 d rounds.
+    """
+    out = cut(wanted.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("step")))
+    jump = cut(tree.where("parent is not null").select("node", F.col("parent").alias("_to")))
+    for r in range(most_rounds):
+        if jump.isEmpty():
+            return out
+        out = cut(out.unionAll(out.join(jump, "node").select("start", F.col("_to").alias("node"), (F.col("step") + (1 << r)).alias("step"))))
+        jump = cut(jump.join(jump.select(F.col("node").alias("_to"), F.col("_to").alias("_far")), "_to").select("node", F.col("_far").alias("_to")))
+    raise ValueError(f"paths are longer than 2^{most_rounds} steps, or there is a cycle")
+
+
+def subtree(tree: DataFrame, root: int, cut) -> DataFrame:
+    """(node, depth) of all descendants of a node, itself included: the nodes whose chain ends there once its own link is cut."""
+    links = tree.select("node", F.when(F.col("node") != root, F.col("parent")).alias("parent"))
+    return depths(links, cut).where(F.col("root") == root).select("node", "depth")

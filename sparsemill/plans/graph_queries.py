@@ -93,7 +93,7 @@ def q037(spark, d):
 def q038(spark, d):
     """Lists by shard parity, merged."""
     u = neighbors.normalized(records(spark, d))
-    parts = [neighbors.top_k(neighbors.scored(neighbors.future_pairs(u, u.where(F.col("cell") % 2 == p), LOW, HIGH, False).where("q_cell <> i_cell")), 3) for p in (0, 1)]
+    parts = [neighbors.future_top_k(u, u.where(F.col("cell") % 2 == p), 3, LOW, HIGH, same_embryo=False) for p in (0, 1)]
     return neighbors.merge_candidates(parts[0].unionByName(parts[1]), 3).select("q_cell", "i_cell", "sim", "rank")
 
 
@@ -275,11 +275,11 @@ def q115(spark, d):
     return n.join(F.broadcast(edges.agg(F.count("*").alias("edges")))).join(F.broadcast(deep)).select("nodes", "edges", "roots", "deepest")
 
 
-@query("q116_paths", f"{_EDGES}, pa as (select node as start, node, 0 as step from tr where node % 20 = 0 union all select start, t.parent, step + 1 from pa join tr t using (node) where t.parent is not null) select * from pa")
+@query("q116_paths", f"{_EDGES}, pa as (select node as start, node, 0 as step from tr union all select start, t.parent, step + 1 from pa join tr t using (node) where t.parent is not null) select * from pa")
 def q116(spark, d):
-    """Ancestors of every twentieth node."""
+    """Ancestors of every node."""
     tree = cut(_tree(spark, d))
-    return trajectory.paths(tree, tree.where("node % 20 = 0"), cut)
+    return trajectory.paths(tree, tree, cut)
 
 
 @query("q116_subtree", f"{_DEPTH}, st as (select root as node, 0 as depth from (select root, count(*) as n from dp group by 1 order by n desc, root limit 1) union all select t.node, depth + 1 from tr t join st on t.parent = st.node) select * from st")

@@ -229,13 +229,21 @@ def q021(spark, d):
     return out
 
 
-@query("q022_route_replay", f"{_STATIC} select count(*) as recorded, 0::bigint as differing from rr")
+_TAPE = "coalesce(role <> 'residual' and module % 2 = 1, false)"
+
+
+@query("q022_route_replay", f"""{_STATIC}, ta as (select *, {_TAPE} as active from rr), ag as (select *, coalesce(role <> 'residual' and module % 2 = 0, false) as again from rr)
+  select signature, module, active as recorded, again as replayed from ta join ag using (signature, module) where active <> again
+  union all select null, null, count(*) > 0, bool_and(active = {_TAPE}) from ta""")
 def q022(spark, d):
-    """A replayed route against the recorded one."""
+    """Regions in which a replay of the next microbatch differs from the recorded tape, and last whether a replay of the same
+    one agrees with it throughout."""
     regions = _static(spark, d)[1]
-    tape = regions.select("signature", "module", packing.route_mask(regions, "alternating", 1).alias("active"))
-    again = regions.select("signature", "module", packing.route_mask(regions, "alternating", 3).alias("active"))
-    return tape.agg(F.count("*").alias("recorded")).join(F.broadcast(tape.exceptAll(again).agg(F.count("*").alias("differing"))))
+    tape, same, other = (regions.select("signature", "module", packing.route_mask(regions, "alternating", m).alias("active")) for m in (1, 3, 2))
+    differing = tape.join(other.withColumnRenamed("active", "replayed"), ["signature", "module"]).where("active <> replayed").select("signature", "module", F.col("active").alias("recorded"), "replayed")
+    missing = tape.exceptAll(same).agg(F.count("*").alias("n"))
+    whole = tape.agg((F.count("*") > 0).alias("recorded")).join(F.broadcast(missing)).select(F.lit(None).cast("string").alias("signature"), F.lit(None).cast("int").alias("module"), "recorded", (F.col("n") == 0).alias("replayed"))
+    return differing.unionAll(whole)
 
 
 @query("q132_metric_rates", f"""{_TILES}, m as (select (12 * count(*) + 8 * sum(entries))::bigint as metadata, sum(nnz)::bigint as nnz, count(*) as tb, count(distinct ("window", tile)) as tiles, sum(entries)::bigint as en, (select count(distinct cell_id) from e) as rows from wt)

@@ -24,9 +24,8 @@ _ALL = f"""p as (select q.cell as q_cell, i.cell as i_cell, i."time" as i_time,
 @query("q032_tie_order", f"{R}, {_ALL} select q_cell, i_cell, rank from (select *, row_number() over (partition by q_cell order by sim desc, i_time, i_embryo, i_cell) as rank from p) where rank <= 5")
 def q032(spark, d):
     """Neighbours whose similarities, rounded to a tenth, are mostly tied."""
-    u = neighbors.normalized(records(spark, d).drop("shard"))
-    pairs = neighbors.scored(neighbors.future_pairs(u, u, LOW, HIGH, False).where("q_cell <> i_cell"), 1)
-    return neighbors.top_k(pairs, 5).select("q_cell", "i_cell", "rank")
+    u = neighbors.normalized(records(spark, d)).withColumn("shard", F.lit(0))
+    return neighbors.future_top_k(u, u, 5, LOW, HIGH, same_embryo=False, digits=1).select("q_cell", "i_cell", "rank")
 
 
 @query("q040_projection_search")
@@ -122,15 +121,26 @@ def q133(spark, d):
     t = _tiles(spark, d).groupBy("window").agg(
         F.countDistinct("tile").alias("tiles"), F.count("*").alias("tile_blocks"), F.sum(F.size("entries")).alias("entries"), F.sum("nnz").alias("nnz"), F.sum(F.bit_count("cell_mask")).alias("rows"),
     )
-    rows = t.orderBy("window").limit(10_000).collect()
-    shapes = {k: np.array([r[k] for r in rows], float) for k in ("tiles", "tile_blocks", "entries", "nnz", "rows")}
-    n = len(rows)
-    shapes |= {"bytes": 12 * shapes["tile_blocks"] + 8 * shapes["entries"] + 2 * shapes["nnz"], "block_width": np.full(n, 32.0), "index_bytes": np.full(n, 4.0), "alignment": np.full(n, 16.0)}
-    shapes["transactions"] = shapes["bytes"] / 128
-    x = planning.shape_features(shapes)
-    seconds = 1e-9 * (50 * shapes["tile_blocks"] + 3 * shapes["nnz"] + 1000)
-    predicted = planning.predict_cost(planning.fit_cost(x, seconds), x)
-    return spark.createDataFrame([(int(r["window"]), float(s), float(p)) for r, s, p in zip(rows, seconds, predicted)], "window long, seconds double, predicted double")
+    bytes_ = 12 * F.col("tile_blocks") + 8 * F.col("entries") + 2 * F.col("nnz")
+    t = t.withColumns({"bytes": bytes_, "block_width": F.lit(32), "index_bytes": F.lit(4), "alignment": F.lit(16), "transactions": bytes_ / 128})
+    t = cut(t.withColumn("seconds", 1e-9 * (50 * F.col("tile_blocks") + 3 * F.col("nnz") + 1000)))
+    model = planning.fit_cost_table(t, "seconds")
+    return t.select("window", "seconds", planning.predicted_cost(model).alias("predicted"))
+
+
+_WINDOWS = f"""{TILE_SQL}, s as (select "window", sum(nnz)::bigint as nnz, count(*) as tb, sum(entries)::bigint as en from wt group by 1),
+  c as (select "window", 1 as id, 6 * nnz as bytes, 9.0::double * nnz + 500 as ns from s union all select "window", 2, 12 * tb + 8 * en + 2 * nnz, 3.0::double * nnz + 50 * tb + 1000 from s
+    union all select "window", 3, 8 * en + 2 * nnz, 3.0::double * nnz + 20 * en from s)"""
+
+
+@query("q133_selected", f"""{_WINDOWS} select "window", id, round(cost, 3) as cost from (select *, 0.5::double * bytes + ns as cost, row_number() over (partition by "window" order by 0.5::double * bytes + ns, id) as i from c) where i = 1""")
+def q133b(spark, d):
+    """Per window of cells the layout of least weighted bytes and time: rows (1), tiles (2) or records (3)."""
+    s = _tiles(spark, d).groupBy("window").agg(F.sum("nnz").alias("nnz"), F.count("*").alias("tb"), F.sum(F.size("entries")).alias("en"))
+    nnz, tb, en = F.col("nnz"), F.col("tb"), F.col("en")
+    costs = [(1, 6 * nnz, 9.0 * nnz + 500), (2, 12 * tb + 8 * en + 2 * nnz, 3.0 * nnz + 50 * tb + 1000), (3, 8 * en + 2 * nnz, 3.0 * nnz + 20 * en)]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("id"), b.cast("long").alias("bytes"), t.cast("double").alias("nanoseconds")) for i, b, t in costs))).alias("c")
+    return planning.select_plan(s.select("window", each).select("window", "c.*"), ["window"], byte_weight=0.5).withColumn("cost", F.round("cost", 3))
 
 
 _CAND = f"""{TILE_SQL}, s as (select sum(nnz)::double as nnz, count(*)::double as tb, sum(entries)::double as en from wt),

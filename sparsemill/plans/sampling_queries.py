@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BAND_DOMAIN, BUCKET_DOMAIN, CELL_DOMAIN, FNV_OFFSET, FNV_PRIME, GAMMA, MASK, MINHASH_DOMAIN, ROW_DOMAIN, SKETCH_STRIDE, signed, splitmix, sql_signed, sql_splitmix, sql_unsigned, unsigned_order, with_id_hash, with_row_hash
 from ..operators import sampling, sparse, support
+from ..sources import files
 from ..sources.tables import CELLS, EXPRESSION, SUPPORT, cells, expression, table
 from ..sources.tables import support as sets
 from .catalog import query
@@ -63,37 +64,50 @@ def q070(spark, d):
     return sampling.lowest_hashes(_rows(spark, d), "cell_id", SEED, 500).select("cell_id", "position")
 
 
-@query("q071_density_boundaries")
+_STRATA = f"""with {EXPRESSION}, z as (select cell_id, count(*) as nnz from e group by 1),
+  v as (select nnz, n, sum(n) over (order by nnz) as below, row_number() over (order by nnz) as place, sum(n) over () as total, count(*) over () as vals from (select nnz, count(*) as n from z group by 1)),
+  cu as (select cut, least(8, vals) as st, vals, (array_agg(place order by abs(below * least(8, vals) - cut * total), place))[1] as hit from v, range(1, 8) t(cut) where cut < least(8, vals) group by all),
+  en as (select least(max(hit - cut) over (order by cut) + cut, vals - st + cut) as last from cu),
+  ds as (select nnz, n, (select count(*) from en where last < place) as stratum from v),
+  sz as (select stratum, max(nnz) as upper, sum(n)::bigint as size from ds group by 1),
+  sh as (select *, greatest(least(400, sum(size) over ()) - count(*) over (), 0) as rest, sum(size) over () - count(*) over () as room from sz),
+  wh as (select *, (rest * (size - 1)) // greatest(room, 1) as whole, (rest * (size - 1)) % greatest(room, 1) as part from sh),
+  al as (select stratum, upper, size, (1 + whole + case when row_number() over (order by part desc, stratum) <= rest - sum(whole) over () then 1 else 0 end)::bigint as sampled from wh)"""
+
+
+@query("q071_density_boundaries", f"{_STRATA} select stratum, upper from sz")
 def q071(spark, d):
     """Upper ends of eight density strata."""
-    counts = [(r[0], r[1]) for r in _nnz(spark, d).groupBy("nnz").count().orderBy("nnz").collect()]
-    return spark.createDataFrame(list(enumerate(sampling.density_boundaries(counts, 8))), "stratum int, upper long")
+    return sampling.density_strata(_nnz(spark, d), "nnz", 8).groupBy("stratum").agg(F.max("nnz").alias("upper"))
 
 
-@query("q073_density_sample")
+@query("q073_density_sample", f"""{_STRATA}, hs as (select * from ({_sql_row_hash('(select cell_id, nnz from z)', 'cell_id')})),
+  rk as (select cell_id, nnz, stratum, row_number() over (partition by stratum order by h, cell_id) as i from hs join ds using (nnz))
+  select cell_id, nnz, stratum, size / sampled as weight from rk join al using (stratum) where i <= sampled""")
 def q073(spark, d):
     """Four hundred rows (all, if there are fewer) over eight density strata, with weights."""
     n = _nnz(spark, d)
     return sampling.density_sample(n, "cell_id", "nnz", SEED, 8, min(400, n.count())).select("cell_id", "nnz", "stratum", "weight")
 
 
-@query("q072_density_allocation", f"""with {EXPRESSION}, n as (select cell_id, count(*) as nnz from e group by 1) select count(*) as n_rows, least(400, count(*)) as sampled, 1 as strata_complete from n""")
+@query("q072_density_allocation", f"{_STRATA} select stratum, size, sampled from al")
 def q072(spark, d):
-    """The allocation adds up: rows, sampled rows, and whether no stratum is empty."""
-    counts = [(r[0], r[1]) for r in _nnz(spark, d).groupBy("nnz").count().orderBy("nnz").collect()]
-    ends, sizes = sampling.density_boundaries(counts, 8), []
-    for i, e in enumerate(ends):
-        sizes.append(sum(c for v, c in counts if v <= e and (i == 0 or v > ends[i - 1])))
-    got = sampling.density_allocation(sizes, min(400, sum(sizes)))
-    return spark.createDataFrame([(sum(sizes), sum(got), int(all(0 < g <= s for g, s in zip(got, sizes))))], "n_rows long, sampled long, strata_complete int")
+    """Rows of every stratum, and how many of them are drawn."""
+    n = _nnz(spark, d)
+    return sampling.density_allocation(sampling.density_strata(n, "nnz", 8), min(400, n.count())).select("stratum", "size", "sampled")
 
 
-@query("q074_reproduced", "select 'hash_range' as mode, true as same union all select 'lowest', true")
+@query("q074_reproduced", f"""select 'hash_range' as mode, cell_id, true as same from ({_sql_row_hash(CELL_IDS, 'cell_id')}) where h::uhugeint * 8 >= 1::uhugeint * 18446744073709551616 and h::uhugeint * 3 < 1::uhugeint * 18446744073709551616
+  union all select 'lowest', cell_id, true from (select cell_id from ({_sql_row_hash(CELL_IDS, 'cell_id')}) order by h, cell_id limit 300)""")
 def q074(spark, d):
-    """Reruns from the stored parameters give the same rows."""
-    a, b = (sampling.hash_range(_rows(spark, d).repartition(n), "cell_id", SEED, (1, 8), (1, 3)).select("cell_id") for n in (1, 5))
-    x, y = (sampling.lowest_hashes(_rows(spark, d).repartition(n), "cell_id", SEED, 300).select("cell_id") for n in (1, 5))
-    return spark.createDataFrame([("hash_range", sampling.same_sample(a, b)), ("lowest", sampling.same_sample(x, y))], "mode string, same boolean")
+    """The rows of reruns from the stored parameters on other partitions, and whether the first run had them, too."""
+    out = None
+    for mode, draw in (("hash_range", lambda r: sampling.hash_range(r, "cell_id", SEED, (1, 8), (1, 3))), ("lowest", lambda r: sampling.lowest_hashes(r, "cell_id", SEED, 300))):
+        first, again = (draw(_rows(spark, d).repartition(n)).select("cell_id") for n in (1, 5))
+        both = again.join(first.withColumn("_first", F.lit(True)), "cell_id", "full")
+        one = both.select(F.lit(mode).alias("mode"), "cell_id", F.coalesce("_first", F.lit(False)).alias("same"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 @query("q075_sample_key", "select count(*) as n_rows, count(stable_id) = count(*) as by_barcode from cells")
@@ -137,7 +151,15 @@ def q079(spark, d):
     return sampling.held_out_split(c, "dataset_id", SEED, 1, 5).groupBy("dataset_id", "held_out").agg(F.countDistinct("cell_id").alias("n_cells"))
 
 
-@query("q080_bootstrap")
+_UNITS = f"u as (select cell_id, row_number() over (order by cell_id) - 1 as i, count(*) over () as n from {CELL_IDS})"
+
+
+def _sql_draws(ids: str, key: int) -> str:
+    """Draws (id, i): unit numbers by half of the hash of the draw's number."""
+    return f"dr as (select id, ((h >> 1) % (select max(n) from u))::bigint as i from ({sql_splitmix(f'(select * from {ids})', 'h', f'xor(id::ubigint, {splitmix(key)}::ubigint)')}))"
+
+
+@query("q080_bootstrap", f"with {_UNITS}, {_sql_draws('(select i as id from u)', SEED ^ sampling.BOOT_DOMAIN)} select cell_id, count(*) as times from dr join u using (i) group by 1")
 def q080(spark, d):
     """Multiplicities of one bootstrap of the cells."""
     return sampling.bootstrap(_rows(spark, d), "cell_id", SEED, 0)
@@ -149,6 +171,12 @@ def q081(spark, d):
     return sampling.degree_preserving_null(sets(spark, d), "gene_id", "cell_id", SEED)
 
 
+@query("q081_null_degrees", f"with {SUPPORT} select 'gene' as axis, gene_id as id, count(*) as degree from s group by all union all select 'cell', cell_id, count(*) from s group by all")
+def q081b(spark, d):
+    """Row and column degrees of such a matrix, counted over its distinct entries."""
+    return files.degrees(sampling.degree_preserving_null(sets(spark, d), "gene_id", "cell_id", SEED).distinct(), {"gene": "gene_id", "cell": "cell_id"})
+
+
 @query("q082_minibatches", f"""with {CELLS}, t as (select cell_id, floor("time")::int as bucket from c where "time" is not null)
   select cell_id, bucket, (row_number() over (partition by bucket order by h, cell_id) - 1) // 32 as batch from ({_sql_row_hash('(select * from t)', 'cell_id')})""")
 def q082(spark, d):
@@ -157,7 +185,7 @@ def q082(spark, d):
     return sampling.minibatches(c, "cell_id", F.floor("time").cast("int"), SEED, 32).select("cell_id", "bucket", "batch")
 
 
-@query("q082_uniform_batches")
+@query("q082_uniform_batches", f"with {_UNITS}, {_sql_draws('(select range as id from range(1000))', SEED)} select id as draw, cell_id from dr join u using (i)")
 def q082b(spark, d):
     """A thousand uniform draws with replacement."""
     return sampling.batch_with_replacement(_rows(spark, d), "cell_id", SEED, 1000)

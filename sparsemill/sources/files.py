@@ -94,24 +94,36 @@ def degrees(entries: DataFrame, axes: dict[str, str]) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a Matrix Market coordinate file, counted from 0; a pattern matrix has value 1.
+    """(row, col, value) of a Matrix Market coordinate matrix, counted from 0; a pattern matrix has value 1.
 
-    Comment lines and the line of sizes, the only one before the entries, are told apart by the file itself: entries have
-    three fields, or two in a pattern file. Symmetric files are not expanded.
+    The matrix may lie in several text files, one of which has the banner, then comments and the line of sizes, and after it
+    entries as the others do. Of a symmetric, skew-symmetric or Hermitian matrix the entries off the diagonal come twice, negated
+    in the skew one. A missing banner, a dense or a complex matrix is an error.
     """
-    lines = spark.read.text(path)
-    header = lines.where(F.startswith("value", F.lit("%%MatrixMarket"))).limit(1).collect()
-    pattern = bool(header) and "pattern" in header[0]["value"].lower()
-    fields = F.split(F.btrim("value"), r"\s+")
-    body = lines.where(~F.startswith("value", F.lit("%")) & (F.btrim("value") != "")).select(fields.alias("f"), F.monotonically_increasing_id().alias("i"))
-    first = body.agg(F.min("i")).first()[0]
-    body = body.where(F.col("i") != F.lit(first))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    banners = lines.where(F.startswith(F.lower("value"), F.lit("%%matrixmarket"))).select("value", "file").limit(2).collect()
+    if len(banners) != 1:
+        raise ValueError("there must be one line with the Matrix Market banner")
+    words = banners[0]["value"].lower().split()
+    if len(words) != 5 or words[1:3] != ["matrix", "coordinate"] or words[3] == "complex":
+        raise ValueError(f"cannot read {banners[0]['value']}")
+    fields, pattern = F.split(F.btrim("value"), r"\s+"), words[3] == "pattern"
+    body = lines.where(~F.startswith("value", F.lit("%")) & (F.btrim("value") != "")).select(fields.alias("f"), "file", "at", "i")
+    # numbers of lines grow within a block of a file, and the sizes are in the first block of the file with the banner
+    begin = body.where((F.col("file") == banners[0]["file"]) & (F.col("at") == 0))
+    sizes = begin.agg(F.min("i")).first()[0]
+    if sizes is None:
+        raise ValueError("the line of sizes does not follow the banner")
     value = F.lit(1.0) if pattern else F.col("f")[2].cast("double")
-    return body.select((F.col("f")[0].cast("long") - 1).alias("row"), (F.col("f")[1].cast("long") - 1).alias("col"), value.alias("value"))
+    entries = body.where(F.col("i") != F.lit(sizes)).select((F.col("f")[0].cast("long") - 1).alias("row"), (F.col("f")[1].cast("long") - 1).alias("col"), value.alias("value"))
+    if words[4] == "general":
+        return entries
+    other = entries.where("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), (-F.col("value") if words[4] == "skew-symmetric" else F.col("value")).alias("value"))
+    return entries.unionAll(other)
 
 
 def write_matrix_market(entries: DataFrame, path: str, n_rows: int, n_cols: int) -> None:
-    """One text file (row, col, value), counted from 1; the header and sizes come first in the first partition."""
+    """Text files (row, col, value), counted from 1; the first one begins with the banner and the line of sizes."""
     nnz = entries.count()
     spark = entries.sparkSession
     head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general", 0), (f"{n_rows} {n_cols} {nnz}", 1)], "value string, k int")

@@ -134,11 +134,20 @@ def test_hash_range_covers_once(spark):
         sampling.hash_range(df, "id", 3, (1, 0), (1, 1))
 
 
-def test_density_allocation():
-    assert sampling.density_boundaries([(1, 5), (2, 5), (9, 5)], 9) == [1, 2, 9]
-    assert sampling.density_boundaries([(1, 1), (2, 1), (3, 1), (4, 1)], 2) == [2, 4]
-    got = sampling.density_allocation([1, 10, 100], 30)
+def test_density_allocation(spark):
+    def ends(counts, strata):
+        t = spark.createDataFrame([(v,) for v, n in counts for _ in range(n)], "nnz long")
+        s = sampling.density_strata(t, "nnz", strata)
+        return [r.upper for r in s.groupBy("stratum").agg(F.max("nnz").alias("upper")).orderBy("stratum").collect()]
+
+    assert ends([(1, 5), (2, 5), (9, 5)], 9) == [1, 2, 9]
+    assert ends([(1, 1), (2, 1), (3, 1), (4, 1)], 2) == [2, 4]
+    assert ends([(1, 90), (2, 1), (3, 1), (4, 1)], 3) == [1, 2, 4] and ends([(7, 3)], 4) == [7]
+    s = spark.createDataFrame([(0, 5, 1), (1, 6, 10), (2, 7, 100)], "stratum int, nnz long, n long")
+    got = [r.sampled for r in sampling.density_allocation(s, 30).orderBy("stratum").collect()]
     assert sum(got) == 30 and got[0] == 1 and got[2] > got[1]
+    with pytest.raises(ValueError):
+        sampling.density_sample(spark.createDataFrame([], "r long, nnz long"), "r", "nnz", 1, 3, 2)
 
 
 def test_degree_null_keeps_degrees(spark):
@@ -272,6 +281,55 @@ def test_greedy_blocks_respect_width(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
+def test_matrix_market_in_many_parts(spark, tmp_path):
+    e = spark.range(3000).select((F.col("id") * 7 % 97).alias("row"), F.col("id").alias("col"), (F.col("id") % 5 + 1.0).alias("value"))
+    files.write_matrix_market(e.repartition(3), str(tmp_path / "m"), 97, 3000)
+    assert len(list((tmp_path / "m").glob("part-*"))) > 1
+    assert rows(files.read_matrix_market(spark, str(tmp_path / "m"))) == rows(e)
+
+
+@pytest.mark.parametrize("kind, mirrored", [("symmetric", 3.0), ("skew-symmetric", -3.0), ("general", None)])
+def test_matrix_market_symmetry(spark, tmp_path, kind, mirrored):
+    (tmp_path / "m.mtx").write_text(f"%%MatrixMarket matrix coordinate real {kind}\n% a note\n\n4 4 2\n1 1 2\n3 1 3\n")
+    got = rows(files.read_matrix_market(spark, str(tmp_path / "m.mtx")))
+    assert got == sorted([(0, 0, 2.0), (2, 0, 3.0)] + ([(0, 2, mirrored)] if mirrored else []), key=repr)
+    (tmp_path / "bad.mtx").write_text("1 1 1\n1 1 1\n")
+    with pytest.raises(ValueError):
+        files.read_matrix_market(spark, str(tmp_path / "bad.mtx"))
+
+
+def test_degree_null_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    e = {(0, b) for b in range(150)} | {(int(a), int(b)) for a, b in zip(rng.integers(1, 60, 600), rng.integers(0, 200, 600))}
+    df = spark.createDataFrame(sorted(e), "a long, b long")
+    n = sampling.degree_preserving_null(df.unionAll(df), "a", "b", 5, block_edges=80)
+    got = {(r.a, r.b) for r in n.collect()}
+    assert n.count() == len(e) == len(got) and len(got - e) > len(e) / 4  # most edges of the node of all degrees cannot move
+    for axis in (0, 1):
+        count = lambda s: {k: sum(x[axis] == k for x in s) for k in {x[axis] for x in s}}  # noqa: B023, E731
+        assert count(got) == count(e)
+    assert sampling.degree_preserving_null(df.limit(0), "a", "b", 5).count() == 0
+
+
+def test_cost_fit_over_a_table(spark):
+    rng = np.random.default_rng(1)
+    shapes = {k: rng.integers(10, 1000, 80).astype(float) for k in planning.FEATURES}
+    t = 1e-6 * shapes["nnz"] ** 0.8 * shapes["tiles"] ** 0.3
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*shapes.values(), t)], ", ".join(f"{k} double" for k in [*shapes, "t"]))
+    model = planning.fit_cost_table(df, "t")
+    want = planning.predict_cost(planning.fit_cost(planning.shape_features(shapes), t), planning.shape_features(shapes))
+    got = [r.p for r in df.select(planning.predicted_cost(model).alias("p")).collect()]
+    assert np.allclose(got, want, rtol=1e-6)
+    c = spark.createDataFrame([(1, 3, 10, 100.0), (1, 2, 10, 100.0), (1, 1, 5, float("nan")), (2, 9, 1, 1.0)], "g int, id int, bytes long, nanoseconds double")
+    assert rows(planning.select_plan(c, ["g"], 1.0)) == [(1, 2, 110.0), (2, 9, 2.0)]
+
+
+def test_places_within_groups(spark):
+    df = spark.createDataFrame([(g, float(x), 10 * x + g) for g in (1, 2) for x in range(50)] + [(None, 0.5, 999)], "g int, t double, k long")
+    got = sparse.ranked_within(df, "g", [F.col("t")], "pos", "k").collect()
+    assert {(r.g, r.k): r.pos for r in got} == {**{(g, 10 * x + g): x for g in (1, 2) for x in range(50)}, (None, 999): 0}
+
+
 def test_matrix_market_round_trip(spark, tmp_path):
     e = spark.createDataFrame([(0, 1, 2.5), (3, 0, -1.0)], "row long, col long, value double")
     files.write_matrix_market(e, str(tmp_path / "m"), 4, 2)
