@@ -5,21 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session takes a temporary folder; on a
+    cluster that is an error, since no other machine could read it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or "file://" + os.path.join(tempfile.gettempdir(), f"sparsemill-{os.getuid()}")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir. Where that is unset a local session takes a temporary folder; on
-    a cluster that is an error, since no other machine could read it."""
+    """df behind a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(at or "file://" + os.path.join(tempfile.gettempdir(), f"sparsemill-{os.getuid()}"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")  # the shuffle files of this plan go once the checkpoint is written

@@ -77,6 +77,13 @@ def encode(entries: DataFrame, weights: DataFrame, bias: list[float], row: str =
     return entries.join(weights, col).groupBy(row, "k").agg(F.sum(F.col("value") * F.col("w")).alias("_z")).select(row, "k", silu(F.col("_z") + b).alias("h"))
 
 
+def dense_layer(hidden: DataFrame, weights: DataFrame, bias: list[float], row: str = "cell_id") -> DataFrame:
+    """(row, k, h): SiLU of the rows (row, k, h) times weights (k, j, w) plus the bias of j, which becomes the new k."""
+    b = F.element_at(F.array(*(F.lit(float(x)) for x in bias)), F.col("j") + 1)
+    z = hidden.join(weights.select("k", "j", "w"), "k").groupBy(row, "j").agg(F.sum(F.col("h") * F.col("w")).alias("_z"))
+    return z.select(row, F.col("j").alias("k"), silu(F.col("_z") + b).alias("h"))
+
+
 def head(hidden: DataFrame, weights: list[float], bias: float, row: str = "cell_id") -> DataFrame:
     """(row, predicted): a linear read-out."""
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("k") + 1)
@@ -114,6 +121,32 @@ def reconstruction_loss(entries: DataFrame, reconstruction: DataFrame, positive:
     return every.join(F.broadcast(fix)).select((F.coalesce("_z", F.lit(0.0)) + F.coalesce("_c", F.lit(0.0))).alias("loss"))
 
 
+def factor_loss(entries: DataFrame, latent: DataFrame, factors: DataFrame, positive: float, baseline: float, row: str = "cell_id", col: str = "gene_id") -> DataFrame:
+    """One row: ``reconstruction_loss`` of the product of latent (row, k, h) and factors (col, k, w), which is never made.
+
+    The sum of all squared predictions is that of latent' G latent over rows, where G holds the inner products of the
+    factors, k by k numbers; predictions themselves are needed at stored entries only.
+    """
+    f = factors.select(col, "k", "w")
+    gram = f.join(f.select(col, F.col("k").alias("_k"), F.col("w").alias("_w")), col).groupBy("k", "_k").agg(F.sum(F.col("w") * F.col("_w")).alias("_g"))
+    other = latent.select(row, F.col("k").alias("_k"), F.col("h").alias("_h"))
+    every = latent.select(row, "k", "h").join(gram, "k").join(other, [row, "_k"]).agg((baseline * F.sum(F.col("h") * F.col("_g") * F.col("_h"))).alias("_z"))
+    vectors = lambda df, key, value: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", value))).alias(f"_{value}"))  # noqa: E731 - k numbers each
+    e = entries.join(vectors(latent, row, "h"), row, "left").join(vectors(f, col, "w"), col, "left")
+    terms = F.transform(F.coalesce(F.map_keys("_h"), F.array().cast("array<int>")), lambda k: F.try_element_at("_h", k) * F.coalesce(F.try_element_at("_w", k), F.lit(0.0)))
+    p = F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    fix = e.select("value", p.alias("p")).agg(F.sum(positive * (F.col("p") - F.col("value")) * (F.col("p") - F.col("value")) - baseline * F.col("p") * F.col("p")).alias("_c"))
+    return every.join(F.broadcast(fix)).select((F.coalesce("_z", F.lit(0.0)) + F.coalesce("_c", F.lit(0.0))).alias("loss"))
+
+
+def latent_smoothness(latent: DataFrame, edges: DataFrame, scale: float = 1.0, row: str = "cell_id") -> DataFrame:
+    """One row: scale times the mean over edges (src, dst, weight) of weight * squared distance of the two latent rows (row, k, h)."""
+    a, b = latent.select(F.col(row).alias("src"), "k", F.col("h").alias("_a")), latent.select(F.col(row).alias("dst"), "k", F.col("h").alias("_b"))
+    e = edges.select("src", "dst", "weight").withColumn("_e", F.monotonically_increasing_id())
+    d = e.join(a, "src").join(b, ["dst", "k"]).groupBy("_e").agg(F.sum(F.col("weight") * (F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b"))).alias("_d"))
+    return d.agg((scale * F.avg("_d")).alias("loss"), F.count("*").alias("n"))
+
+
 def pair_losses(pairs: DataFrame, local_window: float, far_window: float, margin: float) -> DataFrame:
     """One row: mean squared distance of pairs near in time, mean hinge of those far apart; pairs (dt, sim)."""
     sq = F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))
@@ -122,6 +155,34 @@ def pair_losses(pairs: DataFrame, local_window: float, far_window: float, margin
     return pairs.agg(F.avg(F.when(near, sq)).alias("local"), F.count_if(near).alias("n_local"), F.avg(F.when(apart, far)).alias("far"), F.count_if(apart).alias("n_far"))
 
 
+def window_pair_losses(records: DataFrame, low: float, high: float, local_window: float, far_window: float, margin: float) -> DataFrame:
+    """``pair_losses`` of every record and those of its future window: blocks of both are multiplied and summed where they meet, so
+    that pairs are never rows."""
+    from .neighbors import window_blocks
+
+    def fold(q, i):
+        import pyarrow as pa
+
+        got = np.zeros(4)
+        if q.num_rows and i.num_rows:
+            (qc, qe, qt, qx), (ic, ie, it, ix) = (
+                (t.column("cell").to_numpy(), t.column("embryo").to_numpy(), t.column("time").to_numpy(), t.column("latent").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)) for t in (q, i)
+            )
+            for a in range(0, len(qc), 512):
+                b = slice(a, a + 512)
+                dt = it - qt[b][:, None]
+                ok = (it > (qt[b] + low)[:, None]) & (it <= (qt[b] + high)[:, None]) & ((qe[b] < 0)[:, None] | (qe[b][:, None] == ie)) & (qc[b][:, None] != ic)
+                sq = np.maximum(2 - 2 * np.round(qx[b] @ ix.T, 6), 0)
+                near, apart = ok & (dt <= local_window), ok & (dt >= far_window)
+                got += [sq[near].sum(), near.sum(), np.maximum(margin - np.sqrt(sq[apart] + 1e-12), 0).sum(), apart.sum()]
+        return pa.table({"l": [got[0]], "n_l": [int(got[1])], "f": [got[2]], "n_f": [int(got[3])]})
+
+    q, i, keys = window_blocks(records, records, low, high)
+    s = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInArrow(fold, "l double, n_l long, f double, n_f long").agg(*(F.sum(c).alias(c) for c in ("l", "n_l", "f", "n_f")))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return s.select((F.col("l") / F.nullif("n_l", F.lit(0))).alias("local"), count("n_l").alias("n_local"), (F.col("f") / F.nullif("n_f", F.lit(0))).alias("far"), count("n_f").alias("n_far"))
+
+
 def bucket_losses(rows: DataFrame, bucket: str, value: str, buckets: int, least_std: float, margin: float, adjacent: bool = True) -> DataFrame:
     """One row: anchor, spread and ranking losses of bucket means.
 

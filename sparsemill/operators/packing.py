@@ -136,10 +136,38 @@ def order_metrics(order: DataFrame, records: DataFrame, width: int = 32, row: st
     return per.agg(F.count("*").alias("groups"), F.sum("n").alias("blocks"), F.max("n").alias("most"), (4 * F.sum("n")).alias("bytes"))
 
 
-def warp_tiles(records: DataFrame, order: DataFrame, lanes: int = 32, row: str = "cell_id") -> DataFrame:
-    """(window, tile, block, cell_mask, entries, nnz): ordered rows in tiles of ``lanes`` by block; entries (lane, gene mask)."""
+def coordinates(entries: DataFrame, plan: DataFrame, groups: DataFrame, group_rows: int, row: str = "cell_id", col: str = "gene_id") -> DataFrame:
+    """Entries by permuted coordinates: the region (row_group, block) that holds them and their place in it."""
+    e = entries.join(plan.select(col, "block", "local"), col).join(groups.select(row, "row_group"), row)
+    return e.select("row_group", "block", (F.col(row) - F.col("row_group") * group_rows).alias("local_row"), "local", "value")
+
+
+def from_coordinates(placed: DataFrame, plan: DataFrame, group_rows: int, row: str = "cell_id", col: str = "gene_id") -> DataFrame:
+    """The entries of permuted coordinates: the inverse of ``coordinates``. A place without a feature is an error of the plan and
+    drops out."""
+    return placed.join(plan.select(col, "block", "local"), ["block", "local"]).select((F.col("row_group") * group_rows + F.col("local_row")).alias(row), col, "value")
+
+
+def decode_tiles(tiles: DataFrame, order: DataFrame, plan: DataFrame, width: int, lanes: int = 32, row: str = "cell_id", col: str = "gene_id") -> DataFrame:
+    """The entries of tiles that hold values: every lane's record, of the row that the order puts there."""
+    e = tiles.select("window", "tile", "block", F.explode("entries").alias("e")).select("window", (F.col("tile") * lanes + F.col("e.lane")).alias("place"), "block", F.col("e.mask").alias("mask"), F.col("e.values").alias("values"))
+    return decode_records(e.join(order.select(row, "window", "place"), ["window", "place"]).select(row, "block", "mask", "values"), plan, width, row, col)
+
+
+def compare_entries(stored: DataFrame, decoded: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: entries that agree exactly, that differ in value, that are missing from ``decoded``, and that it has besides."""
+    both = stored.select(*keys, F.col("value").alias("_s"), F.lit(1).alias("_a")).join(decoded.select(*keys, F.col("value").alias("_d"), F.lit(1).alias("_b")), keys, "full")
+    return both.agg(
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("_s").eqNullSafe(F.col("_d"))).alias("exact"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col("_s").eqNullSafe(F.col("_d"))).alias("differing"),
+        F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("added"),
+    )
+
+
+def warp_tiles(records: DataFrame, order: DataFrame, lanes: int = 32, row: str = "cell_id", values: bool = False) -> DataFrame:
+    """(window, tile, block, cell_mask, entries, nnz): ordered rows in tiles of ``lanes`` by block; entries (lane, gene mask), with
+    ``values`` also the values in bit order."""
     e = records.join(order.select(row, "window", F.floor(F.col("place") / lanes).alias("tile"), F.pmod("place", F.lit(lanes)).alias("lane")), row)
-    packed = F.array_sort(F.collect_list(F.struct("lane", "mask")))  # at most one a lane
+    packed = F.array_sort(F.collect_list(F.struct("lane", "mask", *(["values"] if values else []))))  # at most one a lane
     return e.groupBy("window", "tile", "block").agg(F.bit_or(F.expr("shiftleft(1L, cast(lane as int))")).alias("cell_mask"), packed.alias("entries"), F.sum(F.size("values")).alias("nnz"))
 
 

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 MOST_RELATIONS = 5_000_000
 FEATURES = ["rows", "nnz", "bytes", "tiles", "tile_blocks", "entries", "block_width", "index_bytes", "alignment", "transactions"]
 
@@ -40,6 +42,126 @@ def greedy_blocks(relations: DataFrame, features: DataFrame, width: int, gene: s
     return features.select(gene).join(good, gene, "left").select(gene, F.coalesce("block", gene).alias("block"), F.coalesce("local", F.lit(0)).alias("local"))
 
 
+def block_gains(entries: DataFrame, plan: DataFrame, relations: DataFrame, width: int, fan_out: int, row: str = "cell_id", col: str = "gene_id") -> dict[str, DataFrame]:
+    """Proposals by kind with the row-and-block references that each would save, positive ones only.
+
+    merge (a, b): two blocks that together fit the width share so many rows. move (g, a, b): rows in which g is alone in its
+    block a, less the rows of g that block b does not have yet. swap (g, h, a, b): the sum of both moves, for blocks whose
+    width bars a move. Blocks are nominated for a feature by its relations (gene_a, gene_b, gain), the ``fan_out`` strongest.
+    """
+    p = plan.select(F.col(col).alias("g"), "block")
+    e = entries.select(F.col(row).alias("r"), F.col(col).alias("g")).distinct().join(p, "g")
+    held = cut(e.groupBy("r", "block").agg(F.count("*").alias("n")))
+    size = p.groupBy("block").agg(F.count("*").alias("size"))
+    both = relations.select(F.col("gene_a").alias("g"), F.col("gene_b").alias("h"), "gain").unionAll(relations.select(F.col("gene_b").alias("g"), F.col("gene_a").alias("h"), "gain"))
+    near = both.join(p.withColumnRenamed("block", "a"), "g").join(p.select(F.col("g").alias("h"), F.col("block").alias("b")), "h").where("a <> b").groupBy("g", "a", "b").agg(F.max("gain").alias("gain"))
+    near = cut(near.withColumn("_i", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("gain"), "b"))).where(F.col("_i") <= fan_out).select("g", "a", "b"))
+    sizes = lambda df: df.join(size.withColumnsRenamed({"block": "a", "size": "na"}), "a").join(size.withColumnsRenamed({"block": "b", "size": "nb"}), "b")
+    fits = sizes(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).where(F.col("na") + F.col("nb") <= width).select("a", "b")
+    one, two = held.select("r", F.col("block").alias("a")), held.select("r", F.col("block").alias("b"))
+    merge = fits.join(one, "a").join(two, ["r", "b"]).groupBy("a", "b").agg(F.count("*").alias("saved"))
+    alone = e.join(held, ["r", "block"]).groupBy("g").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("degree"))
+    met = near.join(e.select("g", "r"), "g").join(two, ["r", "b"]).groupBy("g", "a", "b").agg(F.count("*").alias("met"))
+    moves = cut(sizes(near.join(met, ["g", "a", "b"], "left").join(alone, "g")).select("g", "a", "b", "nb", (F.col("alone") - F.col("degree") + F.coalesce("met", F.lit(0))).alias("saved")))
+    back = moves.select(F.col("g").alias("h"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("saved").alias("saved_back"))
+    swap = moves.where(F.col("nb") >= width).join(back, ["a", "b"]).where("a < b").select("g", "h", "a", "b", (F.col("saved") + F.col("saved_back")).alias("saved"))
+    return {"merge": merge, "move": moves.where(F.col("nb") < width).where("saved > 0").drop("nb"), "swap": swap.where("saved > 0")}
+
+
+def optimize_blocks(
+    entries: DataFrame, start: DataFrame, relations: DataFrame, width: int, cost: Callable[[DataFrame], float], fan_out: int = 8, shortlist: int = 1_000, first_batch: int = 64, most_evaluations: int = 40,
+    row: str = "cell_id", col: str = "gene_id",
+) -> tuple[DataFrame, list[tuple]]:
+    """A plan (col, block) of lower exact cost than ``start``, and a log (phase, proposals, cost, accepted).
+
+    Blocks are first merged, then features moved and swapped. Gains are counted in Spark over all rows; the ``shortlist`` best
+    proposals come to the driver, of which those that touch no block twice are applied together, ``first_batch`` at most, and
+    the plan is costed exactly. A batch that does not pay is halved; a single proposal that does not is not tried again.
+    A phase ends when nothing is proposed or accepted, all when ``most_evaluations`` are used.
+    """
+    plan = cut(start.select(col, "block"))
+    best, log = cost(plan), []
+    evaluations = 1
+    for phase, kinds in (("coarsen", ("merge",)), ("refine", ("move", "swap"))):
+        barred: set[tuple] = set()
+        most = first_batch
+        while evaluations < most_evaluations:
+            found = block_gains(entries, plan, relations, width, fan_out, row, col)
+            rows = [(-r["saved"], kind, *(r[c] for c in found[kind].columns if c != "saved")) for kind in kinds for r in found[kind].orderBy(F.desc("saved"), *(c for c in found[kind].columns if c != "saved")).limit(shortlist).collect()]
+            rows = sorted(r for r in rows if r[1:] not in barred)
+            accepted = False
+            while rows and evaluations < most_evaluations:
+                batch, used = [], set()
+                for r in rows:
+                    if len(batch) < most and not used & set(r[-2:]):  # the two blocks end every proposal
+                        batch.append(r)
+                        used |= set(r[-2:])
+                new = _with_moves(plan, batch, col)
+                c = cost(new)
+                evaluations, accepted = evaluations + 1, c < best
+                log.append((phase, len(batch), c, accepted))
+                if accepted:
+                    plan, best, most = new, c, first_batch
+                    break
+                if len(batch) > 1:
+                    most = len(batch) // 2
+                else:
+                    barred.add(batch[0][1:])
+                    rows, most = [r for r in rows if r[1:] not in barred], first_batch
+            if not accepted:
+                break
+    return plan, log
+
+
+def _with_moves(plan: DataFrame, batch: list[tuple], col: str) -> DataFrame:
+    """The plan after a batch of at most some dozens of proposals, none of which touches a block of another."""
+    block, gene = F.col("block"), F.col(col)
+    new = block
+    for _, kind, *p in batch:
+        if kind == "merge":
+            new = F.when(block == p[1], F.lit(p[0])).otherwise(new)
+        elif kind == "move":
+            new = F.when(gene == p[0], F.lit(p[2])).otherwise(new)
+        else:
+            new = F.when(gene == p[0], F.lit(p[3])).when(gene == p[1], F.lit(p[2])).otherwise(new)
+    return cut(plan.select(gene, new.alias("block")))
+
+
+def alternate(start, moves: Sequence[tuple[str, Callable]], held_out_cost: Callable, least_gain: float = 0.0, most_passes: int = 8, most_evaluations: int = 64) -> tuple:
+    """(best, log (pass, name, cost, accepted), reason) of taking turns: every move makes a proposal from the best so far, which
+    is kept only if it lowers the cost on held-out rows by more than ``least_gain``.
+
+    It stops when a whole pass changes nothing ('converged'), or at the most passes ('passes') or evaluations ('evaluations').
+    """
+    best, cost, log = start, held_out_cost(start), []
+    for turn in range(most_passes):
+        changed = False
+        for name, move in moves:
+            if len(log) + 1 >= most_evaluations:
+                return best, log, "evaluations"
+            new = move(best)
+            c = held_out_cost(new)
+            ok = cost - c > least_gain
+            log.append((turn, name, c, ok))
+            if ok:
+                best, cost, changed = new, c, True
+        if not changed:
+            return best, log, "converged"
+    return best, log, "passes"
+
+
+def autotune(candidates: Sequence, measure: Callable[..., float], close_enough: float, most_trials: int | None = None) -> tuple:
+    """(chosen, trials, reason): the fastest of the first ``most_trials`` candidates, but the first one, the baseline, unless
+    another is faster by more than the share ``close_enough``."""
+    if not candidates:
+        raise ValueError("there is nothing to choose from")
+    times = [measure(c) for c in candidates[: most_trials or None]]
+    at = int(np.argmin(times))
+    if at and times[at] < times[0] * (1 - close_enough):
+        return candidates[at], times, "completed"
+    return candidates[0], times, "close_enough"
+
+
 def refine(start: DataFrame, proposals: Sequence[tuple[str, DataFrame]], held_out_cost: Callable[[DataFrame], float], least_gain: float = 0.0, most_rejections: int = 3) -> tuple[DataFrame, list[tuple]]:
     """The plan after trying the proposals in turn, and a log (name, cost, accepted); stops after so many rejections in a row.
 

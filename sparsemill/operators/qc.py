@@ -73,20 +73,20 @@ def keep_cell(min_counts: float, min_features: int, max_fraction: float, group:
     return (F.col("total") >= min_counts) & (F.col("detected") >= min_features) & (fraction <= max_fraction)
 
 
-def normalize(expression: DataFrame, metrics: DataFrame, target: float = 10_000.0) -> DataFrame:
-    """(cell_id, gene_id, value): log1p(value * target / total) in kept cells; dropped cells stay as they are.
+def normalize(expression: DataFrame, metrics: DataFrame, target: float = 10_000.0, mark: bool = False) -> DataFrame:
+    """(cell_id, gene_id, value): log1p(value * target / total) in kept cells; dropped cells stay as they are. ``mark`` adds keep.
 
     metrics: cell_id, total and keep.
     """
     scale = F.when(F.col("total") > 0, target / F.col("total")).otherwise(0.0)
     value = F.when(F.col("keep"), F.log1p(F.col("value") * scale)).otherwise(F.col("value"))
-    return expression.join(metrics.select("cell_id", "total", "keep"), "cell_id").select("cell_id", "gene_id", value.alias("value"))
+    return expression.join(metrics.select("cell_id", "total", "keep"), "cell_id").select("cell_id", "gene_id", value.alias("value"), *(["keep"] if mark else []))
 
 
 def gene_metrics(normalized: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(gene_id, sum, sum_sq, detected) over kept cells."""
-    kept = metrics.where("keep").select("cell_id")
-    return normalized.join(kept, "cell_id", "left_semi").groupBy("gene_id").agg(F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("sum_sq"), F.count_if(F.col("value") != 0).alias("detected"))
+    """(gene_id, sum, sum_sq, detected) over kept cells; the join is spared where ``normalized`` still has their mark ``keep``."""
+    kept = normalized.where("keep") if "keep" in normalized.columns else normalized.join(metrics.where("keep").select("cell_id"), "cell_id", "left_semi")
+    return kept.groupBy("gene_id").agg(F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("sum_sq"), F.count_if(F.col("value") != 0).alias("detected"))
 
 
 def keep_gene(n: Column, min_sum: float, min_cells: float, min_variance: float) -> Column:

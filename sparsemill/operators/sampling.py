@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.hashing import signed, splitmix, unsigned_decimal, unsigned_order, with_row_hash, with_splitmix
+from ..functions.hashing import signed, splitmix, unsigned_decimal, unsigned_order, with_id_hash, with_row_hash, with_splitmix
 
 MOST_EXACT = 65_536
 BOOT_DOMAIN = 0x626F6F745F647231  # fixed value: separates bootstrap draws from other hashes
@@ -41,6 +41,15 @@ def lowest_hashes(rows: DataFrame, row: str, seed: int, n: int, stable_id: str |
     return top.withColumn("position", F.row_number().over(Window.orderBy(row)) - 1)
 
 
+def file_sample(rows: DataFrame, row: str, stable_id: str, seed: int, n: int) -> DataFrame:
+    """The n rows of lowest hash with ``position`` and ``key``: by stable identifiers ('id') if every row has one, else by row
+    numbers ('row'). An identifier is hashed by its bytes, so the sample outlives renumbered rows."""
+    named = rows.select(row, stable_id)
+    if named.where(F.col(stable_id).isNull() | (F.col(stable_id) == "")).isEmpty():
+        return lowest_hashes(with_id_hash(named, "hash", stable_id, seed), row, seed, n, stable_id).withColumn("key", F.lit("id"))
+    return lowest_hashes(named, row, seed, n).withColumn("key", F.lit("row"))
+
+
 def density_strata(rows: DataFrame, nnz: str, strata: int) -> DataFrame:
     """(nnz, n, stratum): every distinct nnz with its rows and its density stratum, strata as equal in rows as can be.
 

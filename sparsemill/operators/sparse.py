@@ -112,6 +112,19 @@ def ranked(df: DataFrame, order: list, out: str, key: str) -> DataFrame:
     return rows.withColumn("_rank_p", part).join(F.broadcast(before), "_rank_p").withColumn(out, F.col("_rank_before") + place).drop("_rank_p", "_rank_m", "_rank_before")
 
 
+def running_total(df: DataFrame, order: list, value: str, out: str, key: str) -> DataFrame:
+    """df with ``out``, the sum of ``value`` up to and with each row in a global order; ``key`` ends the order.
+
+    As in ``ranked`` each range partition sums its own rows, on top of the sum of those before it.
+    """
+    rows = df.repartitionByRange(*order, key).sortWithinPartitions(*order, key).withColumn("_sum_m", F.monotonically_increasing_id())
+    rows = cut(rows).withColumn("_sum_p", F.shiftright("_sum_m", 33))
+    sums = rows.groupBy("_sum_p").agg(F.sum(value).alias("_sum_n"))  # one row a partition
+    before = sums.select("_sum_p", (F.sum("_sum_n").over(Window.orderBy("_sum_p")) - F.col("_sum_n")).alias("_sum_before"))
+    own = rows.withColumn("_sum_own", F.sum(value).over(Window.partitionBy("_sum_p").orderBy("_sum_m")))
+    return own.join(F.broadcast(before), "_sum_p").withColumn(out, F.col("_sum_before") + F.col("_sum_own")).drop("_sum_p", "_sum_m", "_sum_own", "_sum_before")
+
+
 def ranked_within(df: DataFrame, group: str, order: list, out: str, key: str) -> DataFrame:
     """df with ``out``, the place (from 0) of each row within its group: global places, less the first one of the group, so that
     a group may hold any share of the rows. As many groups as there are come together in one small table by key."""

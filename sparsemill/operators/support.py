@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.hashing import BAND_DOMAIN, BUCKET_DOMAIN, GAMMA, MASK, MINHASH_DOMAIN, SKETCH_STRIDE, mix_array, signed, splitmix, unsigned_mod, unsigned_order, with_splitmix
 
 
@@ -51,41 +52,76 @@ class Sketch:
         return self.bands * self.rows
 
 
-def minhash(sets: DataFrame, gene: str, member: str, p: Sketch) -> DataFrame:
-    """(gene, sketch, value): for every sketch the least hash (unsigned) over the set.
+LARGE_SET = 500_000  # members of a set that one task reduces
+
+
+def sketches(sets: DataFrame, gene: str, member: str, p: Sketch) -> DataFrame:
+    """(gene, sketch): per set one array of the least hash (unsigned) of every sketch.
 
-    Members are sorted by gene, so a batch holds few genes and reduces them before any row of a sketch exists; a gene that
-    spans batches has its minima merged by the aggregation.
+    Members are sorted by gene, so a task reduces one set after the other and no row of a single sketch ever exists. A set of
+    more than LARGE_SET members is shared out over tasks by a hash of the member, and the arrays of its parts are merged.
     """
     salts = np.array([splitmix(p.seed ^ MINHASH_DOMAIN ^ (j * SKETCH_STRIDE & MASK)) for j in range(p.count)], np.uint64)
     kind = sets.schema[gene].dataType.simpleString()
 
     def run(batches):
+        gene_of, low = None, None  # of the set that the last batch ended in
+
+        def rows(genes, arrays):
+            flat = (np.concatenate(arrays) ^ np.uint64(1 << 63)).view(np.int64)
+            return pa.RecordBatch.from_arrays([genes, pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, p.count, dtype=np.int32)), pa.array(flat))], ["g", "sketch"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             of = np.asarray(batch.column(0).dictionary_encode().indices)
             head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            low = np.stack([np.minimum.reduceat(mix_array(x ^ s), head) for s in salts], axis=1)  # runs of one gene
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(head, p.count))), pa.array(np.tile(np.arange(p.count, dtype=np.int32), len(head))), pa.array((low ^ np.uint64(1 << 63)).view(np.int64).ravel())], ["g", "sketch", "value"]
-            )
+            least = np.stack([np.minimum.reduceat(mix_array(x ^ s), head) for s in salts], axis=1)  # runs of one gene
+            genes = batch.column(0).take(pa.array(head))
+            if gene_of is not None:
+                if gene_of[0].equals(genes[0]):
+                    least[0] = np.minimum(least[0], low)
+                else:
+                    yield rows(gene_of, [low])
+            if len(head) > 1:
+                yield rows(genes[:-1], list(least[:-1]))
+            gene_of, low = genes[-1:], least[-1]
+        if gene_of is not None:
+            yield rows(gene_of, [low])
+
+    named = sets.select(F.col(gene).alias("g"), F.col(member).cast("long").alias("_m"))
+    large = cut(named.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_SET))
+    if large.isEmpty():
+        return named.repartition("g").sortWithinPartitions("g").mapInArrow(run, f"g {kind}, sketch array<long>").withColumnRenamed("g", gene)
+    part = F.pmod(F.xxhash64("_m"), F.coalesce(F.ceil(F.col("_n") / LARGE_SET), F.lit(1)))
+    shared = named.join(large, "g", "left").withColumn("_p", part).repartition("g", "_p").sortWithinPartitions("g", "_p").select("g", "_m")
+    each = shared.mapInArrow(run, f"g {kind}, sketch array<long>").select("g", F.posexplode("sketch").alias("j", "v")).groupBy("g", "j").agg(F.min("v").alias("v"))
+    return each.groupBy(F.col("g").alias(gene)).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("sketch"))
+
 
-    ordered = sets.select(gene, F.col(member).cast("long").alias("_m")).repartition(gene).sortWithinPartitions(gene)
-    low = ordered.mapInArrow(run, f"g {kind}, sketch int, value long").groupBy(F.col("g").alias(gene), "sketch").agg(F.min("value").alias("value"))
-    return low.withColumn("value", unsigned_order(F.col("value")))
+def minhash(sets: DataFrame, gene: str, member: str, p: Sketch) -> DataFrame:
+    """(gene, sketch, value): for every sketch the least hash (unsigned) over the set."""
+    return sketches(sets, gene, member, p).select(gene, F.posexplode("sketch").alias("sketch", "value")).withColumn("value", unsigned_order(F.col("value")))
+
+
+def band_keys(sketched: DataFrame, gene: str, p: Sketch) -> DataFrame:
+    """(gene, band, key): the sketches of each band of a set's array folded into one key."""
+    kind = sketched.schema[gene].dataType.simpleString()
+    starts = np.array([splitmix(p.seed ^ BAND_DOMAIN ^ b) for b in range(p.bands)], np.uint64)
 
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, p.bands, p.rows) ^ np.uint64(1 << 63)
+            key = np.tile(starts, (n, 1))
+            for r in range(p.rows):
+                key = mix_array(key ^ v[:, :, r] ^ np.uint64(r * GAMMA & MASK))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), p.bands))), pa.array(np.tile(np.arange(p.bands, dtype=np.int32), n)), pa.array(key.view(np.int64).ravel())], ["g", "band", "key"])
 
-def band_keys(sketches: DataFrame, gene: str, p: Sketch) -> DataFrame:
-    """(gene, band, key): the sketches of each band folded into one key."""
-    rows = sketches.withColumns({"band": F.floor(F.col("sketch") / p.rows).cast("int"), "_r": F.pmod("sketch", F.lit(p.rows))})
-    wide = rows.groupBy(gene, "band").pivot("_r", list(range(p.rows))).agg(F.first("value"))
-    start = F.element_at(F.array(*(F.lit(signed(splitmix(p.seed ^ BAND_DOMAIN ^ b))) for b in range(p.bands))), F.col("band") + 1)
-    out = wide.withColumn("key", start)
-    for r in range(p.rows):
-        out = with_splitmix(out, "key", F.col("key").bitwiseXOR(F.col(str(r))).bitwiseXOR(F.lit(signed(r * GAMMA))))
-    return out.select(gene, "band", "key")
+    return sketched.select(gene, "sketch").mapInArrow(run, f"g {kind}, band int, key long").withColumnRenamed("g", gene)
 
 
 def bucket_members(keys: DataFrame, gene: str, p: Sketch) -> DataFrame:
@@ -100,7 +136,7 @@ def bucket_members(keys: DataFrame, gene: str, p: Sketch) -> DataFrame:
 
 def candidate_pairs(sets: DataFrame, gene: str, member: str, p: Sketch = Sketch()) -> DataFrame:
     """(gene_a, gene_b), a < b: genes that share a bucket in some band."""
-    m = bucket_members(band_keys(minhash(sets, gene, member, p), gene, p), gene, p)
+    m = bucket_members(band_keys(sketches(sets, gene, member, p), gene, p), gene, p)
     a, b = m.withColumnRenamed(gene, "gene_a"), m.withColumnRenamed(gene, "gene_b")
     return a.join(b, ["key", "band"]).where("gene_a < gene_b").select("gene_a", "gene_b").distinct()
 

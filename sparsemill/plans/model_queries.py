@@ -69,10 +69,13 @@ def q027(spark, d):
     return expression(spark, d).select("cell_id", "gene_id", ex.relu(x).alias("relu"), (F.round(ex.gelu_tanh(x), 6) + 0.0).alias("gelu_tanh"), (F.round(ex.silu(x), 6) + 0.0).alias("silu"))
 
 
-@query("q027_gelu")
+# the error function by the same rational fit; tests compare it with the exact one
+@query("q027_gelu", f"""{E}, z as (select value, (value - 5) / 4.0::double as x from (select distinct value from e)), y as (select value, x, abs(x) / sqrt(2) as z, 1 / (1 + 0.3275911::double * abs(x) / sqrt(2)) as t from z),
+  r as (select value, x, 1 - ((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-z * z) as erf from y)
+  select cell_id, gene_id, round(0.5::double * x * (1 + sign(x) * erf), 5) + 0.0 as gelu from e join r using (value)""")
 def q027b(spark, d):
     """GELU with the error function."""
-    return expression(spark, d).select("cell_id", "gene_id", F.round(ex.gelu((F.col("value") - 5) / 4.0), 5).alias("gelu"))
+    return expression(spark, d).select("cell_id", "gene_id", (F.round(ex.gelu((F.col("value") - 5) / 4.0), 5) + 0.0).alias("gelu"))
 
 
 _TOP, _FLOOR, _RW, _GW, _LEAST = 15.0, 1e-3, 1.0, 0.5, 4.0
@@ -135,6 +138,27 @@ def q117(spark, d):
     return _hidden(spark, d).withColumn("h", F.round("h", 6) + 0.0)
 
 
+_W2 = "w2 as (select k, j, (((k + 1) * (j + 3)) % 7 - 3) / 4.0::double as w from range(4) a(k), range(3) b(j))"
+_H2 = f"{_H}, {_W2}, z2 as (select cell_id, j, sum(h * w) + 0.05::double * any_value(j) as z from h join w2 using (k) group by 1, 2), h2 as (select cell_id, j as k, z / (1 + exp(-z)) as h from z2)"
+
+
+def _second(spark, d):
+    w = spark.createDataFrame([(k, j, ((k + 1) * (j + 3) % 7 - 3) / 4.0) for k in range(4) for j in range(3)], "k int, j int, w double")
+    return models.dense_layer(_hidden(spark, d), w, [0.0, 0.05, 0.1])
+
+
+@query("q117_dense_layer", f"{_H2} select cell_id, k, round(h, 6) + 0.0 as h from h2")
+def q117c(spark, d):
+    """The second layer of the time regressor: dense with SiLU."""
+    return _second(spark, d).withColumn("h", F.round("h", 6) + 0.0)
+
+
+@query("q117_forward", f"{_H2} select cell_id, round(sum(h * ([0.5, -0.25, 0.125]::double[])[k + 1]) + 0.2::double, 6) + 0.0 as predicted from h2 group by 1")
+def q117d(spark, d):
+    """Times predicted by all three layers: sparse encoder, dense layer, read-out."""
+    return models.head(_second(spark, d), [0.5, -0.25, 0.125], 0.2).withColumn("predicted", F.round("predicted", 6) + 0.0)
+
+
 @query("q117_time_loss", f"""with {CELLS}, {_H.removeprefix('with ')}, {_Y}, t as (select cell_id, "time" / 10 as t from c where "time" is not null), df as (select abs(predicted - t) as a from y join t using (cell_id))
   select round(avg(case when a <= 0.15 then 0.5 * a * a else 0.15 * (a - 0.075) end), 8) as loss, count(*) as n from df""")
 def q117b(spark, d):
@@ -165,6 +189,24 @@ def q119(spark, d):
     return models.reconstruction_loss(expression(spark, d), p, 2.0, 0.1).withColumn("loss", F.round("loss", 3))
 
 
+_FACTORS = "f as (select gene_id, k, ((gene_id * (k + 3)) % 11 - 5) / 50.0::double as w from genes, range(4) t(k))"
+
+
+@query("q119_factor_loss", f"""{_H}, {_FACTORS}, lv as (select cell_id, list(h order by k) as hv from h group by 1), fv as (select gene_id, list(w order by k) as wv from f group by 1),
+  p as (select cell_id, gene_id, list_inner_product(hv, wv) as p from lv, fv)
+  select round(sum(case when value is null then 0.1::double * p * p else 2.0::double * (p - value) * (p - value) end), 2) as loss from p left join e using (cell_id, gene_id)""")
+def q119b(spark, d):
+    """Reconstruction loss of a factor decoder over all cells and genes."""
+    f = features(spark, d).select("gene_id", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k")).withColumn("w", ((F.col("gene_id") * (F.col("k") + 3)) % 11 - 5) / 50.0)
+    return models.factor_loss(expression(spark, d), _hidden(spark, d), f, 2.0, 0.1).withColumn("loss", F.round("loss", 2))
+
+
+@query("q119_smoothness", f"{_H}, {_EDGE}, n as (select row_number() over () as i, src, dst, weight from ed), x as (select i, sum(weight * (a.h - b.h) * (a.h - b.h)) as d from n join h a on a.cell_id = src join h b on b.cell_id = dst and a.k = b.k group by 1) select round(0.5::double * avg(d), 6) as loss, count(*) as n from x")
+def q119c(spark, d):
+    """Smoothness of the latent rows over edges."""
+    return models.latent_smoothness(_hidden(spark, d), _edge_table(spark, d), 0.5).withColumn("loss", F.round("loss", 6))
+
+
 @query("q121_bucket_losses", f"""with {CELLS}, b as (select floor("time")::int - 6 as b, count(*) as n, avg(x) as mean, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0) + 1e-8) as std from (select "time", (cell_id % 97) / 97.0::double as x from c where "time" is not null) group by 1),
   r as (select 0.1 - (mean - lag(mean) over (order by b)) as p from b)
   select round(avg((mean - b / 7.0::double) * (mean - b / 7.0::double)), 8) as anchor, round(avg(case when n > 1 and std < 0.3 then 0.3 - std else 0 end), 8) as spread, (select round(coalesce(avg(p) filter (where p > 0), 0), 8) from r) as ranking from b""")

@@ -162,6 +162,29 @@ def q093(spark, d):
     return e.select("cell_id", "gene_id", "row_group", "block", (F.col("cell_id") - F.col("row_group") * GROUP).alias("local_row"), "local")
 
 
+@query("q093_rebuilt", f"{BASE}, {GROUPS} select cell_id, gene_id, value from e join p using (gene_id) join gr using (cell_id)")
+def q093b(spark, d):
+    """The entries again from their permuted coordinates."""
+    p = plan(spark, d)
+    return packing.from_coordinates(packing.coordinates(expression(spark, d), p, groups(spark, d), GROUP), p, GROUP)
+
+
+@query("q092_decoded", f"{BASE} select cell_id, gene_id, value from e join p using (gene_id)")
+def q092c(spark, d):
+    """The entries again from tiles that hold their values."""
+    r = records(spark, d)
+    o = packing.local_order(r, "minhash", WINDOW, SEED)
+    return packing.decode_tiles(packing.warp_tiles(r, o, values=True), o, plan(spark, d), WIDTH)
+
+
+@query("q131_record_check", f"{BASE} select count(*) filter (where gene_id % 10 <> 3) as exact, 0::bigint as differing, count(*) filter (where gene_id % 10 = 3) as missing, 0::bigint as added from e join p using (gene_id)")
+def q131b(spark, d):
+    """Block records decoded and compared entry by entry, with a tenth of the features withheld, which must come out missing."""
+    p = plan(spark, d)
+    back = packing.decode_records(records(spark, d), p.where("gene_id % 10 <> 3"), WIDTH)
+    return packing.compare_entries(expression(spark, d).join(p.select("gene_id"), "gene_id", "left_semi"), back, ["cell_id", "gene_id"])
+
+
 _REGIONS = f"""{BASE}, {GROUPS}, c0 as (select row_group * 100000 + block as region, cell_id - row_group * {GROUP} as local_row from e join p using (gene_id) join gr using (cell_id)),
   rg as (select row_group * 100000 + block as region, case when block % 7 = 6 then 'residual' else 'primary' end as role, n_rows, n_features
     from (select row_group, max(cell_id) - row_group * {GROUP} + 1 as n_rows from gr group by 1), (select block, count(*) as n_features from p group by 1)),

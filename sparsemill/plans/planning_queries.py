@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.hashing import splitmix, sql_splitmix
 from ..functions.lineage import cut
 from ..operators import models, neighbors, packing, planning, sampling, support
-from ..sources.tables import EXPRESSION, RECORDS, cells, expression, features, records
+from ..sources.tables import EXPRESSION, RECORDS, SUPPORT, cells, expression, features, records
 from ..sources.tables import support as sets
 from .catalog import query
 from .graph_queries import HIGH, LOW, UNIT
@@ -58,7 +59,7 @@ def q043(spark, d):
 def q047(spark, d):
     """Buckets and raw pairs of every band."""
     p = support.Sketch(seed=SEED)
-    m = support.bucket_members(support.band_keys(support.minhash(sets(spark, d), "gene_id", "cell_id", p), "gene_id", p), "gene_id", p)
+    m = support.bucket_members(support.band_keys(support.sketches(sets(spark, d), "gene_id", "cell_id", p), "gene_id", p), "gene_id", p)
     n = m.groupBy("key", "band").agg(F.count("*").alias("n"))
     return n.groupBy("band").agg(F.count("*").alias("buckets"), F.sum(F.floor(F.col("n") * (F.col("n") - 1) / 2)).alias("raw_pairs"))
 
@@ -77,8 +78,7 @@ def q052(spark, d):
 def q120(spark, d):
     """Losses of pairs near and far in time."""
     u = neighbors.normalized(records(spark, d))
-    pairs = neighbors.scored(neighbors.future_pairs(u, u, LOW, HIGH).where("q_cell <> i_cell")).select((F.col("i_time") - F.col("q_time")).alias("dt"), "sim")
-    return models.pair_losses(pairs, 0.05, 0.08, 1.0).withColumns({c: F.round(c, 6) for c in ("local", "far")})
+    return models.window_pair_losses(u, LOW, HIGH, 0.05, 0.08, 1.0).withColumns({c: F.round(c, 6) for c in ("local", "far")})
 
 
 @query("q129_greedy_blocks")
@@ -88,6 +88,27 @@ def q129(spark, d):
     return planning.greedy_blocks(gains, sets(spark, d).select("gene_id").distinct(), 32)
 
 
+@query("q129_optimized", f"with {SUPPORT} select count(distinct gene_id) as features, true as fits, true as cheaper, 1::bigint as blocks_of_a_feature from s")
+def q129b(spark, d):
+    """Blocks merged, then features moved and swapped, costed exactly on the way: that every feature is in one block, blocks fit
+    the width, and the plan is cheaper than single features."""
+    s = sets(spark, d)
+    o = _overlap(spark, d)
+    gains = o.select("gene_a", "gene_b", (F.col("intersection") * 10 - F.col("union")).alias("gain")).where("gain > 0")
+    rows = s.select("cell_id", F.floor(F.col("cell_id") / 256).alias("row_group")).distinct()
+
+    def cost(p):
+        t = packing.tile_occupancy(s, p, rows)
+        return float(packing.packing_cost(packing.occupancy_summary(t, 1, 1), 1).first()["total_bytes"])
+
+    start = s.select("gene_id", F.col("gene_id").alias("block")).distinct()
+    best, log = planning.optimize_blocks(s, start, gains, 32, cost, most_evaluations=8)
+    size = best.groupBy("block").agg(F.count("*").alias("n"))
+    once = best.groupBy("gene_id").agg(F.count("*").alias("n"))
+    fits = size.agg((F.max("n") <= 32).alias("fits"))
+    return best.agg(F.countDistinct("gene_id").alias("features")).join(F.broadcast(fits)).join(F.broadcast(once.agg(F.max("n").alias("blocks_of_a_feature")))).withColumn("cheaper", F.lit(any(ok for *_, ok in log)))
+
+
 @query("q130_refinement")
 def q130(spark, d):
     """Feature orders tried in turn, accepted on held-out bytes."""
@@ -103,6 +124,20 @@ def q130(spark, d):
     return spark.createDataFrame(planning.refine(start, orders, cost)[1], "proposal string, cost double, accepted boolean")
 
 
+@query("q130_alternating")
+def q130b(spark, d):
+    """Feature order and block width refined in turns on held-out bytes, until a pass changes nothing."""
+    split = cut(sampling.held_out_split(expression(spark, d), "cell_id", SEED, 1, 4))
+    held, g, of = split.where("held_out"), groups(spark, d), features(spark, d).select("gene_id")
+    degree = cut(split.where("not held_out").groupBy("gene_id").agg(F.count("*").alias("n")))
+    by_degree = of.join(degree, "gene_id", "left").select("gene_id", F.coalesce("n", F.lit(0)).alias("n"))
+    made = {"modulus": lambda w: packing.width_plan(of, w, [F.col("gene_id") % 17]), "degree": lambda w: packing.width_plan(by_degree, w, [F.desc("n")])}
+    cost = lambda p: float(packing.packing_cost(packing.occupancy_summary(packing.tile_occupancy(held, made[p[0]](p[1]), g), 1, 1), 1).first()["total_bytes"])
+    moves = [("order", lambda p: ("degree" if p[0] == "modulus" else "modulus", p[1])), ("wider", lambda p: (p[0], min(64, p[1] * 2)))]
+    best, log, reason = planning.alternate(("modulus", 32), moves, cost, most_passes=3)
+    return spark.createDataFrame([(*entry, reason) for entry in log], "pass int, move string, cost double, accepted boolean, stopped string")
+
+
 @query("q131_null_comparison")
 def q131(spark, d):
     """Tile metrics against those of a random matrix of the same degrees."""
@@ -175,13 +210,25 @@ def q137(spark, d):
     return m.select(F.round(score, 2).alias("score"))
 
 
-@query("q144_synthetic_trace")
+def _sql_trace(columns: int = 2000) -> str:
+    """Entries tr ("row", "column") of the synthetic trace with as many rows as there are cells."""
+    fold, part = 1 << 30, columns // 8
+    u = sql_splitmix(f'(select row_number() over (order by cell_id) - 1 as "row" from {CELL_IDS})', "x", f'xor("row"::ubigint, {splitmix(SEED ^ 1)}::ubigint)')
+    y = sql_splitmix('(select *, "row" * 65536 + j as at_key from tj)', "y", f"xor(at_key::ubigint, {splitmix(SEED ^ 2)}::ubigint)")
+    return f"""with tu as (select "row", ((x >> 1) % {fold})::bigint as u from ({u})),
+      td as (select *, case when u % 3 = 0 then least({columns}, floor(4 / sqrt((u + 1) / {fold}.0::double)))::int when u % 3 = 1 then 24 else 12 end as degree from tu),
+      tj as (select "row", u % 3 as family, unnest(range(0, degree)) as j from td), ty as (select *, ((y >> 1) % {fold})::bigint as hit from ({y})),
+      tr as (select distinct "row", case when family = 1 then ("row" // 32 * 24 + j) % {columns} when family = 2 then ("row" % 8 * {part} + hit % {part}) % {columns} else hit % {columns} end as "column" from ty)"""
+
+
+@query("q144_synthetic_trace", f'{_sql_trace()} select "row", "column" from tr')
 def q144(spark, d):
     """A synthetic support of as many rows as there are cells."""
     return planning.synthetic_trace(spark, cells(spark, d).count(), 2000, SEED)
 
 
-@query("q144_trace_summary")
+@query("q144_trace_summary", f"""{_sql_trace()}, n as (select "row", count(*) as n from tr group by 1)
+  select count(*) as rows, sum(n)::bigint as nnz, avg(n) as mean_degree, min(n) as least, max(n) as most, (select count(distinct "column") from tr) as columns from n""")
 def q144b(spark, d):
     """Summary of that trace."""
     return planning.trace_summary(planning.synthetic_trace(spark, cells(spark, d).count(), 2000, SEED))

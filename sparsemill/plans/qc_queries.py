@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
 from ..operators import qc
 from ..sources import files
 from ..sources.tables import CELLS, EXPRESSION, cells, expression, features, table
@@ -53,9 +56,9 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
     return qc.normalize(expression(spark, d), metrics(spark, d))
 
 
-def gene_table(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d)
-    g = qc.gene_metrics(qc.normalize(expression(spark, d), m), m)
+def gene_table(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
+    m = cut(metrics(spark, d)) if m is None else m  # a row a cell, read three times
+    g = qc.gene_metrics(qc.normalize(expression(spark, d), m, mark=True), m)
     n = m.where("keep").agg(F.count("*").alias("n_kept"))
     return g.join(F.broadcast(n)).withColumn("keep", qc.keep_gene(F.col("n_kept"), **GENES))
 
@@ -129,10 +132,22 @@ def q008(spark, d):
     return files.merge_records(base, features(spark, d).where("modality is null").select("gene_id", of.alias("modality")), "gene_id")
 
 
+@query("q008_flattened", f"""with {CELLS}, k as (select dataset_id, count(distinct cell_id) as cells, bool_and(stable_id is not null) as complete, min(row_no) as lo, max(row_no) as hi from cells where dataset_id is not null group by 1),
+  l as (select dataset_id, string_agg(distinct label, '|' order by label) as labels from cells join c using (cell_id) where dataset_id is not null and label is not null group by 1)
+  select dataset_id, cells, case when complete then 'true' else 'false' end as complete, coalesce(labels, '') as labels, lo as rows_first, hi as rows_last from k left join l using (dataset_id)""")
+def q008b(spark, d):
+    """Catalogue records with a list, a truth value and a struct, one plain column a field."""
+    raw, c = table(spark, d, "cells").where("dataset_id is not null"), cells(spark, d)
+    k = raw.groupBy("dataset_id").agg(F.countDistinct("cell_id").alias("cells"), F.bool_and(F.col("stable_id").isNotNull()).alias("complete"), F.struct(F.min("row_no").alias("first"), F.max("row_no").alias("last")).alias("rows"))
+    labels = raw.select("dataset_id", "cell_id").join(c.select("cell_id", "label"), "cell_id").groupBy("dataset_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return files.flatten_records(k.join(labels, "dataset_id", "left"))
+
+
 @query("q009_published", f"{QC}, {NORMAL}, {GENE} select cell_id, gene_id, value from e where cell_id in (select cell_id from k where keep) and gene_id in (select gene_id from w where keep)")
 def q009(spark, d):
     """The filtered raw matrix: kept cells by kept genes."""
-    return files.filtered_matrix(expression(spark, d), metrics(spark, d).where("keep"), gene_table(spark, d).where("keep"))
+    m = cut(metrics(spark, d))
+    return files.filtered_matrix(expression(spark, d), m.where("keep"), gene_table(spark, d, m).where("keep"))
 
 
 @query("q010_image_manifest", f"with {EXPRESSION} select 'expression' as part, count(*) as n_rows, bit_xor(('0x' || substr(md5(cell_id || ':' || gene_id || ':' || value::bigint), 1, 15))::bigint) as checksum from e")
@@ -141,6 +156,18 @@ def q010(spark, d):
     return files.manifest(expression(spark, d).withColumn("value", F.col("value").cast("long")), "expression", ["cell_id", "gene_id", "value"])
 
 
+@query("q010_reopened", f"""with {EXPRESSION} select 'expression' as part, count(*) as n_rows, bit_xor(('0x' || substr(md5(cell_id || ':' || gene_id || ':' || value::bigint), 1, 15))::bigint) as checksum from e
+  union all select 'genes', count(*), bit_xor(('0x' || substr(md5(gene_id || ':' || coalesce(group_mask, 0)), 1, 15))::bigint) from genes""")
+def q010b(spark, d):
+    """A stored image of two tables, opened again after its version, rows and checksums have been verified."""
+    tables = {"expression": expression(spark, d).withColumn("value", F.col("value").cast("long")), "genes": features(spark, d).select("gene_id", F.coalesce("group_mask", F.lit(0)).alias("mask"))}
+    path = f"{shared_dir(spark).rstrip('/')}/image-{uuid.uuid4().hex}"
+    files.write_image(path, tables, version=2)
+    back = files.open_image(spark, path, version=2)
+    parts = [files.manifest(back[name], name, tables[name].columns) for name in tables]
+    return parts[0].unionAll(parts[1])
+
+
 @query("q012_prefix_flag", "select gene_id, coalesce(starts_with(feature_name, 'MT-'), false) as mito from genes")
 def q012(spark, d):
     """Features whose name begins with the mitochondrial prefix."""

@@ -35,7 +35,8 @@ def q068(spark, d):
     return with_row_hash(_rows(spark, d), "hash", F.col("cell_id"), SEED)
 
 
-def _sql_id_hash() -> str:
+def _sql_id_hash(name: str | None = None) -> str:
+    """Hashes of the stable identifiers; with a name as a table (stable_id, h) that a query may go on from."""
     m = "18446744073709551616::uhugeint"
     # the fold over the bytes of an identifier, by a recursive query over its positions
     fold = f"""with recursive i as (select distinct stable_id from cells where stable_id is not null), f as (
@@ -43,7 +44,8 @@ def _sql_id_hash() -> str:
       select stable_id, k + 1, ((xor(x, ('0x' || substr(hex(stable_id::blob), 2 * k + 1, 2))::ubigint)::uhugeint * {FNV_PRIME}::uhugeint) % {m})::ubigint from f where k < octet_length(stable_id::blob))"""
     base = "(select stable_id, x, octet_length(stable_id::blob)::ubigint as n from f where k = octet_length(stable_id::blob))"
     first = sql_splitmix(base, "l", f"xor(n, {CELL_DOMAIN}::ubigint)")
-    return fold + " select stable_id, " + sql_signed("h") + " as hash from (" + sql_splitmix(first, "h", f"xor(xor(x, l), {splitmix(SEED ^ CELL_DOMAIN)}::ubigint)") + ")"
+    hashed = sql_splitmix(first, "h", f"xor(xor(x, l), {splitmix(SEED ^ CELL_DOMAIN)}::ubigint)")
+    return f"{fold}, {name} as (select stable_id, h from ({hashed}))" if name else fold + " select stable_id, " + sql_signed("h") + " as hash from (" + hashed + ")"
 
 
 @query("q068_id_hash", _sql_id_hash())
@@ -116,6 +118,17 @@ def q075(spark, d):
     return table(spark, d, "cells").agg(F.count("*").alias("n_rows"), (F.count("stable_id") == F.count("*")).alias("by_barcode"))
 
 
+@query("q075_file_sample", f"""{_sql_id_hash('ih')}, b as (select cell_id, min(stable_id) as stable_id from cells where stable_id <> '' group by 1)
+  select 'id' as key, cell_id, row_number() over (order by cell_id) - 1 as position from (select cell_id from b join ih using (stable_id) order by h, stable_id, cell_id limit 300)
+  union all select 'row', cell_id, row_number() over (order by cell_id) - 1 from (select cell_id from ({_sql_row_hash(CELL_IDS, 'cell_id')}) order by h, cell_id limit 300)""")
+def q075b(spark, d):
+    """Three hundred cells by identifier, of those that have one, and by row, of all, of which some have none."""
+    ids = table(spark, d, "cells").groupBy("cell_id").agg(F.min(F.nullif("stable_id", F.lit(""))).alias("stable_id"))
+    without = _rows(spark, d).withColumn("stable_id", F.lit(None).cast("string"))
+    parts = [sampling.file_sample(r, "cell_id", "stable_id", SEED, 300).select("key", "cell_id", "position") for r in (ids.where("stable_id is not null"), without)]
+    return parts[0].unionAll(parts[1])
+
+
 @query("q076_sampled_structure", f"with {EXPRESSION}, p as (select cell_id, row_number() over (order by cell_id) - 1 as position from (select cell_id from ({_sql_row_hash(CELL_IDS, 'cell_id')}) order by h, cell_id limit 500)) select position, gene_id from e join p using (cell_id)")
 def q076(spark, d):
     """Columns of the sampled rows, values left out."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,70 @@ def manifest(df: DataFrame, part: str, cols: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(digest).alias("checksum")).select(F.lit(part).alias("part"), "n_rows", "checksum")
 
 
+def flatten_records(records: DataFrame, separator: str = "|") -> DataFrame:
+    """records with one plain column a field: lists joined by ``separator`` (nulls in them left out), fields of structs named
+    ``struct_field``, truth values as 'true' and 'false', and null as the empty text where a column is text. Columns come by name."""
+    cols = {}
+    for f in records.schema:
+        fields = [(f"{f.name}_{g.name}", g.dataType, F.col(f.name)[g.name]) for g in f.dataType] if isinstance(f.dataType, T.StructType) else [(f.name, f.dataType, F.col(f.name))]
+        for name, kind, c in fields:
+            if name in cols:
+                raise ValueError(f"two fields are named {name}")
+            if isinstance(kind, T.ArrayType):
+                c, kind = F.array_join(c.cast("array<string>"), separator), T.StringType()
+            elif isinstance(kind, (T.StructType, T.MapType)):
+                c, kind = F.to_json(c), T.StringType()
+            elif isinstance(kind, T.BooleanType):
+                c, kind = c.cast("string"), T.StringType()
+            cols[name] = F.coalesce(c, F.lit("")) if isinstance(kind, T.StringType) else c
+    return records.select(*(cols[n].alias(n) for n in sorted(cols)))
+
+
+def write_catalog(records: DataFrame, path: str, kind: str = "tsv") -> None:
+    """Text files of the records: 'tsv' flat, with a header and columns by name; 'json' one object a line, lists and structs kept."""
+    if kind == "tsv":
+        flatten_records(records).write.mode("errorifexists").option("sep", "\t").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    elif kind == "json":
+        records.select(*sorted(records.columns)).write.mode("errorifexists").json(path)
+    else:
+        raise ValueError(kind)
+
+
+class ImageError(ValueError):
+    """A stored image that is not what its manifest says."""
+
+
+def write_image(path: str, tables: dict[str, DataFrame], version: int) -> None:
+    """Tables as Parquet under ``path`` with a manifest, written last: version, and name, columns, rows and checksum of each."""
+    spark, rows = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        m = manifest(spark.read.parquet(f"{path}/{name}"), name, df.columns).first()
+        rows.append((version, name, df.schema.json(), m["n_rows"], m["checksum"]))
+    spark.createDataFrame(rows, "version int, part string, columns string, n_rows long, checksum long").coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+
+
+def open_image(spark: SparkSession, path: str, version: int, parts: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of an image (or the named ones), once its version, their columns, rows and checksums have been verified.
+
+    They are read with the columns that the manifest states, so a plan made for an earlier copy can be bound to this one.
+    """
+    stated = {r["part"]: r for r in spark.read.schema("version int, part string, columns string, n_rows long, checksum long").json(f"{path}/manifest").collect()}
+    out = {}
+    for name in parts or stated:
+        if name not in stated:
+            raise ImageError(f"there is no part {name}")
+        s = stated[name]
+        if s["version"] != version:
+            raise ImageError(f"{name} has version {s['version']}, not {version}")
+        df = spark.read.schema(T.StructType.fromJson(json.loads(s["columns"]))).parquet(f"{path}/{name}")
+        m = manifest(df, name, df.columns).first()
+        if (m["n_rows"], m["checksum"]) != (s["n_rows"], s["checksum"]):
+            raise ImageError(f"{name} is not what was written")
+        out[name] = df
+    return out
+
+
 def degrees(entries: DataFrame, axes: dict[str, str]) -> DataFrame:
     """(axis, id, degree) of each axis."""
     out = None

@@ -311,6 +311,38 @@ def test_degree_null_in_blocks(spark):
     assert sampling.degree_preserving_null(df.limit(0), "a", "b", 5).count() == 0
 
 
+def test_blocks_are_merged_moved_and_swapped(spark):
+    groups = {0: (1, 2, 3), 1: (4, 5, 6)}
+    e = spark.createDataFrame([(r, g, 1.0) for r in range(60) for g in groups[r % 2]], "cell_id long, gene_id long, value double")
+    rel = spark.createDataFrame([(a, b, 5) for gs in groups.values() for a in gs for b in gs if a < b], "gene_a long, gene_b long, gain long")
+
+    def cost(plan):
+        return float(e.join(plan, "gene_id").select("cell_id", "block").distinct().count())
+
+    single = spark.range(1, 7).select(F.col("id").alias("gene_id"), F.col("id").alias("block"))
+    best, log = planning.optimize_blocks(e, single, rel, 3, cost)
+    assert cost(best) == 60 and log[0][0] == "coarsen" and {frozenset(r.g) for r in best.groupBy("block").agg(F.collect_set("gene_id").alias("g")).collect()} == {frozenset(g) for g in groups.values()}
+    mixed = spark.createDataFrame([(1, 0), (2, 0), (4, 0), (3, 1), (5, 1), (6, 1)], "gene_id long, block long")
+    best, log = planning.optimize_blocks(e, mixed, rel, 3, cost)  # full blocks: only a swap helps
+    assert cost(best) == 60 and [x for x in log if x[3]] == [("refine", 1, 60.0, True)]
+    best, log = planning.optimize_blocks(e, mixed, rel, 4, cost)  # room for moves
+    assert cost(best) == 60 and best.groupBy("block").count().agg(F.max("count")).first()[0] <= 4
+    never, log = planning.optimize_blocks(e, mixed, rel, 3, lambda p: 1.0)  # nothing pays: halved, barred, unchanged
+    assert rows(never) == rows(mixed) and not any(x[3] for x in log)
+
+
+def test_turns_and_choices():
+    step = lambda d: lambda x: x + d
+    assert planning.alternate(5, [("down", step(-2)), ("up", step(1))], abs)[::2] == (1, "converged")
+    assert planning.alternate(50, [("down", step(-1))], abs, most_passes=3)[::2] == (47, "passes")
+    assert planning.alternate(50, [("down", step(-1))], abs, most_evaluations=5)[2] == "evaluations"
+    took = {"a": 10.0, "b": 9.8, "c": 5.0}
+    assert planning.autotune("abc", took.get, 0.05)[::2] == ("c", "completed") and planning.autotune("ab", took.get, 0.05)[::2] == ("a", "close_enough")
+    assert planning.autotune("abc", took.get, 0.05, most_trials=2)[0] == "a"
+    with pytest.raises(ValueError):
+        planning.autotune([], took.get, 0.1)
+
+
 def test_cost_fit_over_a_table(spark):
     rng = np.random.default_rng(1)
     shapes = {k: rng.integers(10, 1000, 80).astype(float) for k in planning.FEATURES}
@@ -340,6 +372,35 @@ def test_matrix_market_round_trip(spark, tmp_path):
     assert rows(files.read_matrix_market(spark, str(tmp_path / "p.mtx"))) == [(1, 0, 1.0)]
 
 
+def test_images_are_verified(spark, tmp_path):
+    one, two = spark.range(50).withColumn("x", F.col("id") * 2), spark.createDataFrame([(1, None), (2, "b")], "k int, t string")
+    at = f"file://{tmp_path}/image"
+    files.write_image(at, {"one": one, "two": two}, version=3)
+    got = files.open_image(spark, at, 3)
+    assert rows(got["one"]) == rows(one) and rows(got["two"]) == rows(two) and got["two"].schema == two.schema
+    assert list(files.open_image(spark, at, 3, ["two"])) == ["two"]
+    for version, parts in ((4, None), (3, ["three"])):
+        with pytest.raises(files.ImageError):
+            files.open_image(spark, at, version, parts)
+    one.limit(1).write.mode("append").parquet(f"{at}/one")
+    with pytest.raises(files.ImageError):
+        files.open_image(spark, at, 3)
+
+
+def test_catalogues(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["b", None, "a"], True, (2, None), None)], "id int, tags array<string>, ok boolean, s struct<p: int, q: string>, note string")
+    df = df.coalesce(1)
+    flat = files.flatten_records(df)
+    assert flat.columns == ["id", "note", "ok", "s_p", "s_q", "tags"] and flat.first()[:] == (1, "", "true", 2, "", "b|a")
+    files.write_catalog(df, f"{tmp_path}/t")
+    text = "".join(p.read_text() for p in (tmp_path / "t").glob("part-*"))
+    assert text == "id\tnote\tok\ts_p\ts_q\ttags\n1\t\ttrue\t2\t\tb|a\n"
+    files.write_catalog(df, f"{tmp_path}/j", "json")
+    assert spark.read.json(f"{tmp_path}/j").first().tags == ["b", None, "a"]
+    with pytest.raises(ValueError):
+        files.write_catalog(df, f"{tmp_path}/x", "xml")
+
+
 def test_publish_and_labels(spark, tmp_path):
     e, cells, masks = qc_fixture(spark)
     files.publish(str(tmp_path / "out"), e, cells, masks)
