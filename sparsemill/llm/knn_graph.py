@@ -177,9 +177,11 @@ class Layout:
     leaf with few members and many visitors (a crowd nearby) has its visitors split, and its members in every part.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, leaf_rows: int, block_leaves: int, probes: int):
+    def __init__(self, sample: np.ndarray, n: int, leaf_rows: int, block_leaves: int | tuple[int, int], probes: int):
         self.leaves = fit_leaves(sample, max(1, round(n / leaf_rows)))
         count = len(self.leaves)
+        if isinstance(block_leaves, tuple):  # some two dozen blocks keep a small session busy; beyond, larger ones part less
+            block_leaves = int(np.clip(count // 24, *block_leaves))
         near = np.concatenate([self._nearest(sample[i : i + 4096], probes) for i in range(0, len(sample), 4096)]) if len(sample) else np.zeros((0, 1), int)
         rows = n / max(1, len(sample))
         members = np.bincount(near[:, 0], minlength=count) * rows
@@ -380,7 +382,7 @@ def _improve_lists(k: int):
     return run
 
 
-def first_graph(vectors: DataFrame, n: int, dim: int, k: int, leaf_rows: int, block_leaves: int, probes: int, sample_rows: int, parts: int) -> DataFrame:
+def first_graph(vectors: DataFrame, n: int, dim: int, k: int, leaf_rows: int, block_leaves: int | tuple[int, int], probes: int, sample_rows: int, parts: int) -> DataFrame:
     """Lists within leaves, with the vectors."""
     layout = Layout(sample_vectors(vectors, dim, min(sample_rows, 16 * (n // leaf_rows + 1))), n, leaf_rows, block_leaves, probes)
     routed = vectors.mapInArrow(_router(layout, dim, probes), "block int, id long, home int, leaf int, probe array<int>, vec binary")
@@ -497,7 +499,7 @@ def _local_join(dim: int, k: int, reverse: int, turn: int):
 
 
 def neighbour_graph(
-    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: tuple[int, int] = (2, 30), probes: int = 8, leaf_rows: int = 1000, block_leaves: int = 16, reverse: int = 10,
+    rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, rounds: tuple[int, int] = (2, 30), probes: int = 8, leaf_rows: int = 1000, block_leaves: int | tuple[int, int] = (16, 64), reverse: int = 10,
     hub_links: int = 64, sample_rows: int = 131_072, settled: float = 0.005, history: list | None = None,
 ) -> DataFrame:
     """(id, nbrs, sims): the k most similar other ids of every valid vector, most similar first, ties by id.
@@ -505,6 +507,7 @@ def neighbour_graph(
     Rows with null or negative id, or whose vector is null, not of ``dim`` numbers, not finite throughout or all zero,
     take no part; rows of one id count as one. Rounds go on until less than the share ``settled`` of the entries changes
     (at least and at most ``rounds``; the most is far more than that takes); ``history`` receives that share of every round.
+    Blocks hold ``block_leaves`` leaves of about ``leaf_rows`` vectors, the more the more leaves there are.
     Centroids are fitted on ``sample_rows`` vectors at most, 16 a leaf; every vector is indexed. Fewer than k others: a
     shorter list. Of more equally similar vectors than fit a list, those of lowest id among the ones met come.
     """
