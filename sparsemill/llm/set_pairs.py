@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from ._work import chunk_pairs, cut
 
 CLASS_CHUNK = 1000  # members of a class that meet in one group
-CHECK_BITS = 128  # bits of the code that travel with a segment and are compared in the join
+CHECK_BITS = 192  # bits of the code that travel with a segment and are compared in the join
 
 
 def calibrate(n_sets: int, threshold: float, recall: float) -> tuple[int, int, int]:
     """(width, segments, radius): segments of ``width`` bits for the number of sets, as many as the recall needs at the
-    threshold, and the radius in CHECK_BITS that at most 1e-6 of such pairs exceed. About 64 sets share the value of a piece
+    threshold, and the radius in CHECK_BITS that at most 1e-6 of such pairs exceed. About 32 sets share the value of a piece
     at any number of sets: fewer would take more pieces, which travel, and comparing costs less than travelling."""
-    width = max(6, round(math.log2(max(2, n_sets))) - 6)
+    width = max(6, round(math.log2(max(2, n_sets))) - 5)
     agree = (1 + threshold) / 2
     segments = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
     p, tail, radius = 1 - agree, 0.0, CHECK_BITS
