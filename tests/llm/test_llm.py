@@ -72,6 +72,14 @@ def test_terms_of_nothing_and_marks(spark):
     opt = spark.createDataFrame([(2.0, 3.0, 0.5)], "min_detected_cells double, min_gene_sum double, max_detected_share double")
     freq, n = terms.term_frequencies(expr(spark, [(1, 5, 1, 9.0), (2, 5, 1, 1.0), (3, 6, 1, 1.0), (None, 8, 1, 1.0)]))
     assert rows(terms.mark_terms(freq, n, opt).select("gene_id", "marks")) == [(5, ["common"]), (6, ["rare"]), (8, ["rare"])]
+    with pytest.raises(ValueError):
+        terms.mark_terms(freq, n, opt.unionAll(opt))
+
+
+def test_repeats_are_dropped_while_spilling(spark):
+    data = [(1, 5, 1, 2.0)] * 5000 + [(1, 5, 1, 3.0), (1, 5, None, 4.0), (2, 5, 1, 1.0)]
+    freq, n = terms.term_frequencies(expr(spark, data).coalesce(2), limit_rows=3)
+    assert rows(freq) == [(5, 8.0, 2)] and n.first().n == 2
 
 
 # -- 2 ------------------------------------------------------------------------------------------------------------------
@@ -93,6 +101,8 @@ def test_stable_sample_only_grows(spark):
     expected = sum(min(1, 0.4 * x) for x in w.values())
     assert abs(len(last) - expected) < 5 * math.sqrt(expected)
     assert stable_sample.running_weights(df.limit(0), "id", F.col("w")).count() == 0
+    two = stable_sample.running_weights(spark.createDataFrame([("a", 1.0), ("b", 50.0)], "id string, w double"), "id", F.col("w"))
+    assert rows(two) == [("a", 1.0), ("b", 50.0)]  # inclusion tells them apart as long as the rate allows
 
 
 # -- 3 ------------------------------------------------------------------------------------------------------------------
@@ -108,7 +118,7 @@ def brute_neighbours(x, k):
     return np.argsort(-s, axis=1, kind="stable")[:, :k], s
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
+@pytest.mark.parametrize("rounds", [(1, 1), (3, 30)])
 def test_graph_recall_against_brute_force(spark, rounds):
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 2000)] + 0.4 * rng.normal(size=(2000, 16))).astype(np.float32)
@@ -125,12 +135,33 @@ def test_a_round_improves_a_poor_graph(spark):
     x = rng.normal(size=(1500, 8)).astype(np.float32)
     want, _ = brute_neighbours(x, 10)
     found = []
-    for rounds in (0, 1, 2):
+    for rounds in ((0, 0), (1, 1), (2, 2)):
         g = knn_graph.neighbour_graph(vectors(spark, x), "id", "vec", dim=8, k=10, rounds=rounds, probes=2, leaf_rows=40, block_leaves=1, settled=-1.0).collect()
         found.append(np.mean([len(set(r.nbrs) & set(want[r.id].tolist())) / 10 for r in g]))
     assert found[0] < found[1] < found[2]
 
 
+def test_rounds_join_what_a_hash_split_parted(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 8)).astype(np.float32)
+    want, _ = brute_neighbours(x, 10)
+    found = []
+    for rounds in ((0, 0), (1, 30)):  # few sampled vectors: the leaves are far too large and are split
+        history = []
+        g = knn_graph.neighbour_graph(vectors(spark, x), "id", "vec", dim=8, k=10, rounds=rounds, probes=2, leaf_rows=60, block_leaves=4, sample_rows=16, history=history).collect()
+        found.append(np.mean([len(set(r.nbrs) & set(want[r.id].tolist())) / 10 for r in g]))
+    assert found[0] < 0.8 and found[1] > 0.95
+    assert len(history) > 2 and history[0] > history[1] > history[-1] < 0.005  # it ends by itself
+
+
+def test_pairs_at_the_border_are_decided_on_the_stored_numbers(spark):
+    c = 0.9
+    x = [[1.0, 0.0, 0.0], [c + 2e-6, float(np.sqrt(1 - (c + 2e-6) ** 2)), 0.0], [c - 2e-6, 0.0, float(np.sqrt(1 - (c - 2e-6) ** 2))]]
+    df = vectors(spark, np.array(x) * [[1], [3], [5]], [(7, [float("nan")] * 3, "e")])
+    g = knn_graph.neighbour_graph(df, "id", "vec", dim=3, k=2)
+    assert rows(knn_graph.similar_pairs(g, df, "id", "vec", 0.9, dim=3)) == [(0, 1)]
+
+
 def test_graph_of_one_hot_vector_and_dirt(spark):
     x = np.ones((3000, 4), np.float32)
     extra = [(5, [1.0, 1.0, 1.0, 1.0], "e"), (None, [1.0] * 4, "e"), (-1, [1.0] * 4, "e"), (9001, None, "e"), (9002, [1.0], "e"), (9003, [0.0] * 4, "e"), (9004, [float("nan"), 1.0, 1.0, 1.0], "e"), (9005, [float("inf"), 1.0, 1.0, 1.0], "e"), (9006, [None, 1.0, 1.0, 1.0], "e")]
@@ -179,6 +210,15 @@ def test_similar_sets_equal_brute_force(spark):
     assert set_pairs.similar_records(df.limit(0), "gene_id", "cell_id").count() == 0
 
 
+def test_large_classes_are_expanded_whole(spark, monkeypatch):
+    monkeypatch.setattr(set_pairs, "CLASS_CHUNK", 4)
+    sets = {g: set(range(10)) for g in range(30)} | {g: set(range(8)) for g in range(30, 35)} | {90: {77}}
+    df = spark.createDataFrame([(g, c, "z") for g, s in sets.items() for c in s], "gene_id long, cell_id long, s string")
+    assert {tuple(r) for r in set_pairs.similar_records(df, "gene_id", "cell_id").collect()} == brute_pairs(sets, 3, 5)
+    links = {r.k: (r.s, r.members, r.links) for r in set_pairs.record_links(df, "gene_id", "cell_id").collect()}
+    assert links[3] == (0, 30, 34) and links[31] == (30, 5, 34) and links[90] == (90, 1, 0) and len(links) == 36
+
+
 def test_similar_sets_across_tables(spark):
     one = spark.createDataFrame([(1, v) for v in range(10)] + [(2, v) for v in range(50, 60)], "k long, v long")
     two = spark.createDataFrame([(1, v) for v in range(1, 10)] + [(7, 99)], "k long, v long")
@@ -268,6 +308,27 @@ def test_quota_sample_meets_targets(spark):
     assert quota_sample.quota_sample(df.limit(0), t).count() == 0 and quota_sample.target_report(df, t.limit(0)).count() == 0
 
 
+def test_quotas_that_fill_the_request(spark):
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame([(1, n, i + 100 * j) for j, n in enumerate(names) for i in range(60)], "dataset_id long, stratum string, cell_id long")
+    t = spark.createDataFrame([(1, n, 0.22, 1, 50) for n in names], "dataset_id long, stratum string, target_share double, min_rows long, requested_rows long")
+    quotas = lambda fill: [r.quota for r in quota_sample.target_report(df, t, fill=fill).orderBy("stratum").collect()]
+    assert sum(quotas(True)) == 50 and min(quotas(True)) >= 9 and sum(quotas(False)) <= 50
+    assert quota_sample.quota_sample(df, t, fill=True).count() == 50
+
+
+def test_reservoirs_of_any_size_and_their_union(spark, monkeypatch):
+    monkeypatch.setattr(quota_sample, "BUFFERED", 700)
+    df = spark.createDataFrame([(1, "x", i) for i in range(5000)] + [(1, "y", i) for i in range(40)], "dataset_id long, stratum string, cell_id long")
+    t = spark.createDataFrame([(1, "x", 0.9, 0, 3000), (1, "y", 0.1, 0, 3000)], "dataset_id long, stratum string, target_share double, min_rows long, requested_rows long")
+    got = quota_sample.quota_sample(df, t)
+    u = {r.cell_id: r.u for r in df.where("stratum = 'x'").select("cell_id", stable_sample.unit_hash(F.col("cell_id")).alias("u")).collect()}
+    assert {r.cell_id for r in got.where("stratum = 'x'").collect()} == set(sorted(u, key=lambda i: (u[i], i))[:2700]) and got.where("stratum = 'y'").count() == 40
+    args = (t, "dataset_id", "stratum", "cell_id")
+    parts = [quota_sample.reservoirs(df.where(F.col("cell_id") % 2 == i), *args) for i in (0, 1)]
+    assert rows(quota_sample.target_report(df, t, state=parts[0].unionAll(parts[1]))) == rows(quota_sample.target_report(df, t))
+
+
 def test_minimum_above_the_request_is_drawn_whole(spark):
     df = spark.createDataFrame([(1, "tail", i) for i in range(30)], "dataset_id long, stratum string, cell_id long")
     t = spark.createDataFrame([(1, "tail", 1.0, 20, 10)], "dataset_id long, stratum string, target_share double, min_rows long, requested_rows long")
@@ -365,6 +426,29 @@ def test_the_region_with_most_shared_grams_is_not_the_only_one_tried():
     assert got[0].tolist() == [0, 1, 2, 3] and got[3].max() <= 2
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_passages_edited_anywhere_are_found(edits):
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    items = [" ".join(word() for _ in range(rng.randint(12, 30))) for _ in range(30)]
+    docs, of = [], []
+    for n in range(600):
+        i = n % len(items)
+        w = items[i].split()
+        at = rng.randint(0, len(w) - 12)
+        t = list(" ".join(w[at : at + 12]))
+        for e in range(edits):
+            place = (n // 30 + e * rng.randint(0, 9)) * len(t) // 20 % len(t) if e == 0 else rng.randrange(len(t))
+            kind = rng.choice("sid")
+            t[place : place + (kind != "i")] = [rng.choice("abcxyz")] if kind != "d" else []
+        docs.append(" ".join([word() for _ in range(rng.choice([0, 8]))] + ["".join(t)] + [word() for _ in range(rng.choice([0, 8]))]))
+        of.append(i)
+    got = leakage.scan(leakage.Items(list(range(30)), items, 12, 12, 2), docs)
+    found = {(d, i): e for d, i, e in zip(got[0], got[1], got[3])}
+    hit = [found.get((d, i)) for d, i in enumerate(of)]
+    assert sum(h is not None for h in hit) / len(hit) >= (1.0 if edits == 0 else 0.99) and all(h <= edits for h in hit if h is not None)
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_BLOCK_BYTES", 60)
     t = [" ".join(f"{c}{i}" for i in range(14)) for c in "abc"]
