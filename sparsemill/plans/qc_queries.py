@@ -47,8 +47,8 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
     return qc.group_masks(features(spark, d), rules, "feature_id", "feature_name", "feature_type", "modality", HAND)
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = qc.cell_metrics(expression(spark, d), cells(spark, d), masks(spark, d), groups=4)
+def metrics(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
+    m = qc.cell_metrics(expression(spark, d) if e is None else e, cells(spark, d), masks(spark, d), groups=4)
     return m.withColumn("keep", qc.keep_cell(**FILTER))
 
 
@@ -56,9 +56,9 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
     return qc.normalize(expression(spark, d), metrics(spark, d))
 
 
-def gene_table(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
-    m = cut(metrics(spark, d)) if m is None else m  # a row a cell, read three times
-    g = qc.gene_metrics(qc.normalize(expression(spark, d), m, mark=True), m)
+def gene_table(spark: SparkSession, d: str, e: DataFrame | None = None, m: DataFrame | None = None) -> DataFrame:
+    m, e = metrics(spark, d) if m is None else m, expression(spark, d) if e is None else e
+    g = qc.gene_metrics(qc.normalize(e, m, mark=True), m)
     n = m.where("keep").agg(F.count("*").alias("n_kept"))
     return g.join(F.broadcast(n)).withColumn("keep", qc.keep_gene(F.col("n_kept"), **GENES))
 
@@ -146,8 +146,9 @@ def q008b(spark, d):
 @query("q009_published", f"{QC}, {NORMAL}, {GENE} select cell_id, gene_id, value from e where cell_id in (select cell_id from k where keep) and gene_id in (select gene_id from w where keep)")
 def q009(spark, d):
     """The filtered raw matrix: kept cells by kept genes."""
-    m = cut(metrics(spark, d))
-    return files.filtered_matrix(expression(spark, d), m.where("keep"), gene_table(spark, d, m).where("keep"))
+    e = cut(expression(spark, d))  # summed once: metrics, normalisation and the result read it
+    m = cut(metrics(spark, d, e))
+    return files.filtered_matrix(e, m.where("keep"), gene_table(spark, d, e, m).where("keep"))
 
 
 @query("q010_image_manifest", f"with {EXPRESSION} select 'expression' as part, count(*) as n_rows, bit_xor(('0x' || substr(md5(cell_id || ':' || gene_id || ':' || value::bigint), 1, 15))::bigint) as checksum from e")
