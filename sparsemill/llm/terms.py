@@ -183,7 +183,7 @@ def term_frequencies(
     spark = rows.sparkSession
     cols = [rows[term].cast("long").alias("term"), rows[record].cast("long").alias("rec"), rows[piece].cast("long").alias("piece"), rows[value].cast("double").alias("val")]
     named = rows.where(rows[term].isNotNull()).select(*cols)
-    blocks = cut(named.mapInArrow(_spill(max(6, _bits_for(named.count(), limit_rows))), BLOCK))
+    blocks = cut(named.mapInArrow(_spill(max(6, _bits_for(rows.count(), limit_rows))), BLOCK))
     done = None
     for _ in range(64 // LEVEL_BITS - 1):
         big = cut(blocks.groupBy("part").agg(F.sum("n").alias("total")).where(F.col("total") > limit_rows))
