@@ -445,3 +445,40 @@ def test_approximate_searches_find_nine_tenths(spark, name):
     found = lambda n: plans.QUERIES[n](spark, "/root/testdata/sf0.1").where("rank <= 10").select("q_cell", "i_cell")
     want = found("q039_knn_cosine").cache()
     assert found(name).intersect(want).count() >= 0.9 * want.count() > 0
+
+
+def brute_sparse(x, queries, k):
+    """x: dense rows, NaN where a column is absent."""
+    v = np.nan_to_num(x) / np.sqrt(np.nansum(x * x, 1))[:, None]
+    out = []
+    for q in queries:
+        s = {i: round(float(v[q] @ v[i]), 6) + 0.0 for i in range(len(x)) if i != q and (~np.isnan(x[q]) & ~np.isnan(x[i])).any()}
+        out += [(q, i, r + 1) for r, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_sparse_neighbors_are_those_of_brute_force(spark, signed, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((300, 150)) < 0.08, rng.integers(1, 4, (300, 150)).astype(float), np.nan)
+    if signed:
+        x *= rng.choice([-1, 1], x.shape)
+    x[:, 0] = np.where(rng.random(300) < 0.9, 5.0, np.nan)  # in nearly all rows
+    x[200:240] = x[:40]  # equal rows tie, and go by cell
+    x[50] = np.nan
+    x[[50, 60], 149] = 1.0  # hardly anyone has a column of this query
+    x[np.isnan(x).all(1), 0] = 5.0
+    e = spark.createDataFrame([(int(i), int(c), float(x[i, c])) for i, c in zip(*np.nonzero(~np.isnan(x)))], "cell_id long, gene_id long, value double").repartition(5)
+    want = brute_sparse(x, range(0, 300, 10), 4)
+    for size in (2_000_000, 100):  # one block and several
+        monkeypatch.setattr(neighbors, "SPARSE_BLOCK", size)
+        assert rows(neighbors.sparse_neighbors(e, e.where("cell_id % 10 = 0"), 4).select("q_cell", "i_cell", "rank")) == want
+
+
+def test_sparse_neighbors_shuffle_no_pairs(spark):
+    """A column that all rows have: as rows, all pairs would be shuffled."""
+    e = spark.range(400).selectExpr("id as cell_id", "explode(array(0, 1 + id % 7)) as gene_id", "1.0D as value")
+    found = neighbors.sparse_neighbors(e, e.where("cell_id % 2 = 0"), 3)
+    assert found.count() == 200 * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 0
