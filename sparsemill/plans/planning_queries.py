@@ -35,11 +35,12 @@ def q040(spark, d):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    u = neighbors.normalized(records(spark, d)).select("cell", array_to_vector("latent").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=5).fit(u)
-    near = model.approxSimilarityJoin(u.where("cell % 50 = 0"), u, 0.9, "distance")
-    pairs = near.select(F.col("datasetA.cell").alias("q_cell"), F.col("datasetB.cell").alias("i_cell"), (-F.col("distance")).alias("sim")).where("q_cell <> i_cell")
-    return neighbors.top_k(pairs, 10).select("q_cell", "i_cell", F.round(-F.col("sim"), 5).alias("distance"), "rank")
+    r = records(spark, d)
+    zero = spark.range(1).select(array_to_vector(F.array_repeat(F.lit(0.0), 64)).alias("v"))  # the projections depend on the seed and the length alone
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=5).fit(zero)
+    planes = np.array([list(v.toArray()) for v in model._java_obj.randUnitVectors()])
+    near = neighbors.projection_neighbors(r.where("cell % 50 = 0"), r, 10, planes, 0.5, 0.9)
+    return near.select("q_cell", "i_cell", F.round(-F.col("sim"), 5).alias("distance"), "rank")
 
 
 @query("q043_merged_lists", f"""{R}, p as (select q.cell as q_cell, i.cell as i_cell, round(list_inner_product(q.v, i.v), 5) as score from u q join u i on q.cell <> i.cell where q.cell % 50 = 0)

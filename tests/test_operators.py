@@ -482,3 +482,32 @@ def test_sparse_neighbors_shuffle_no_pairs(spark):
     assert found.count() == 200 * 3
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") > 0
+
+
+def test_projection_neighbors_are_those_of_the_join(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 6)) + 2 * rng.normal(size=(3, 6))[rng.integers(0, 3, 240)]
+    x[100:130] = x[:30]  # equal vectors tie, and go by cell
+    x[7] = 0
+    r = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "cell long, latent array<float>").repartition(4)
+    u = neighbors.normalized(r).select("cell", array_to_vector("latent").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=5).fit(u)
+    pairs = model.approxSimilarityJoin(u.where("cell % 5 = 0"), u, 0.9, "distance").selectExpr("datasetA.cell as q_cell", "datasetB.cell as i_cell", "-distance as sim")
+    want = rows(neighbors.top_k(pairs.where("q_cell <> i_cell"), 4).select("q_cell", "i_cell", "rank"))
+    planes = np.array([list(v.toArray()) for v in model._java_obj.randUnitVectors()])
+    for size in (20_000, 10):  # one block and several
+        monkeypatch.setattr(neighbors, "QUERY_BLOCK", size)
+        found = neighbors.projection_neighbors(r.where("cell % 5 = 0"), r, 4, planes, 0.5, 0.9)
+        assert rows(found.select("q_cell", "i_cell", "rank")) == want and len(want) > 100
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_projection_search_shuffles_no_pairs(spark):
+    """Half of all vectors share a bucket: as rows, half of all pairs would be shuffled, vectors and all."""
+    from sparsemill import plans
+
+    plan = plans.QUERIES["q040_projection_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 0
